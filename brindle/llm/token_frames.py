@@ -31,7 +31,9 @@ from pyspark.sql.window import Window
 from .common import fresh_path, load, open_input, open_output, shuffle_width, staged
 from .zstd_frames import FrameReader, FrameWriter
 
-HEADER = struct.Struct("<qBI")
+#: id, whether it is null, number of token ids.
+HEADER = "<qBI"
+HEADER_BYTES = struct.calcsize(HEADER)
 FRAME_BYTES = 1 << 18
 #: Chunks that a task remembers; beyond that it starts anew.
 MEMO = 400_000
@@ -91,7 +93,7 @@ def write_frames(tokens: DataFrame, folder: str, files: int | None = None, frame
             rows = []
             for i, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 writer = writer or FrameWriter(open_output(name), frame_bytes)
-                frame, place = writer.put(HEADER.pack(i or 0, i is None, len(ids) // 4) + ids)
+                frame, place = writer.put(struct.pack(HEADER, i or 0, i is None, len(ids) // 4) + ids)
                 rows.append((name, part, frame, place, i, len(ids) // 4, first))
                 first += len(ids) // 4
             if rows:
@@ -106,8 +108,8 @@ def documents_in(content: bytes):
     """(id, bytes of the ids) of each document in a frame."""
     at = 0
     while at < len(content):
-        i, null, n = HEADER.unpack_from(content, at)
-        at += HEADER.size
+        i, null, n = struct.unpack_from(HEADER, content, at)
+        at += HEADER_BYTES
         yield None if null else i, content[at : at + 4 * n]
         at += 4 * n
 
@@ -145,8 +147,8 @@ def read_documents(index: DataFrame) -> DataFrame:
         with open_input(group["file"].iloc[0]) as stream:
             content = FrameReader(stream).frame(int(group["frame"].iloc[0]))
         for place in group["place"]:
-            i, null, n = HEADER.unpack_from(content, int(place))
-            at = int(place) + HEADER.size
+            i, null, n = struct.unpack_from(HEADER, content, int(place))
+            at = int(place) + HEADER_BYTES
             out.append((None if null else i, list(array("I", content[at : at + 4 * n]))))
         return pd.DataFrame({"id": pd.array([i for i, _ in out], "Int64"), "ids": [x for _, x in out]})
 
