@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import codec_queries, coder_queries, frame_queries, metric_queries, report_queries, sequence_queries, source_queries  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "rice_eval_mono"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
