@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 
 import numpy as np
@@ -73,71 +74,55 @@ def partitioned_decode(data: bytes, count: int, size: int = 16) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-class ByteModel:
-    """Adaptive frequencies of 256 symbols; halves them when they add up to 2^16."""
-
-    def __init__(self):
-        self.counts = np.ones(256, np.int64)
-
-    def span(self, symbol: int) -> tuple[int, int, int]:
-        low = int(self.counts[:symbol].sum())
-        return low, low + int(self.counts[symbol]), int(self.counts.sum())
-
-    def find(self, target: int) -> int:
-        return int(np.searchsorted(np.cumsum(self.counts), target, side="right"))
-
-    def learn(self, symbol: int) -> None:
-        self.counts[symbol] += 32
-        if self.counts.sum() >= 1 << 16:
-            self.counts = (self.counts + 1) // 2
-
-
 TOP, HALF, QUARTER = (1 << 32) - 1, 1 << 31, 1 << 30
 
 
 def arithmetic_encode(data: bytes) -> bytes:
-    """Adaptive order-0 arithmetic coding with 32-bit bounds; bits that straddle the middle wait."""
-    model, low, high, waiting, bits = ByteModel(), 0, TOP, 0, []
-
-    def put(bit: int) -> None:
-        nonlocal waiting
-        bits.append(bit)
-        bits.extend([1 - bit] * waiting)
-        waiting = 0
-
+    """Order-0 arithmetic coding with 32-bit bounds behind a table of the bytes' counts; bits that straddle the middle wait."""
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    used = np.flatnonzero(counts)
+    head = struct.pack(">H", len(used)) + b"".join(struct.pack(">BI", int(s), int(counts[s])) for s in used)
+    if len(used) < 2:
+        return head
+    ends = np.cumsum(counts).tolist()
+    starts, total = [0, *ends], ends[-1]
+    low, high, waiting, bits = 0, TOP, 0, []
     for symbol in data:
-        a, b, total = model.span(symbol)
         width = high - low + 1
-        low, high = low + width * a // total, low + width * b // total - 1
-        model.learn(symbol)
+        low, high = low + width * starts[symbol] // total, low + width * ends[symbol] // total - 1
         while True:
             if high < HALF:
-                put(0)
+                bits.append("0" + "1" * waiting)
+                waiting = 0
             elif low >= HALF:
-                put(1)
-                low, high = low - HALF, high - HALF
+                bits.append("1" + "0" * waiting)
+                waiting, low, high = 0, low - HALF, high - HALF
             elif low >= QUARTER and high < 3 * QUARTER:
-                waiting += 1
-                low, high = low - QUARTER, high - QUARTER
+                waiting, low, high = waiting + 1, low - QUARTER, high - QUARTER
             else:
                 break
             low, high = 2 * low, 2 * high + 1
-    waiting += 1
-    put(int(low >= QUARTER))
-    return np.packbits(np.array(bits, np.uint8)).tobytes()
+    bits.append("1" + "0" * (waiting + 1) if low >= QUARTER else "0" + "1" * (waiting + 1))
+    text = "".join(bits)
+    return head + int(text + "0" * (-len(text) % 8), 2).to_bytes((len(text) + 7) // 8, "big")
 
 
 def arithmetic_decode(code: bytes, count: int) -> bytes:
-    bits = np.unpackbits(np.frombuffer(code, np.uint8)).tolist() + [0] * 64
-    model, low, high, out = ByteModel(), 0, TOP, bytearray()
-    value, at = int("".join(map(str, bits[:32])), 2), 32
+    distinct = struct.unpack_from(">H", code)[0]
+    table = [struct.unpack_from(">BI", code, 2 + 5 * i) for i in range(distinct)]
+    if distinct < 2:
+        return bytes([table[0][0]]) * count if table else b""
+    symbols = [s for s, _ in table]
+    ends = np.cumsum([c for _, c in table]).tolist()
+    starts, total = [0, *ends], ends[-1]
+    body = code[2 + 5 * distinct :]
+    bits = bin(int.from_bytes(b"\x01" + body + bytes(8), "big"))[3:]
+    low, high, value, at, out = 0, TOP, int(bits[:32], 2), 32, bytearray()
     for _ in range(count):
-        width, total = high - low + 1, int(model.counts.sum())
-        symbol = model.find(((value - low + 1) * total - 1) // width)
-        a, b, _ = model.span(symbol)
-        low, high = low + width * a // total, low + width * b // total - 1
-        model.learn(symbol)
-        out.append(symbol)
+        width = high - low + 1
+        i = bisect.bisect_right(ends, ((value - low + 1) * total - 1) // width)
+        low, high = low + width * starts[i] // total, low + width * ends[i] // total - 1
+        out.append(symbols[i])
         while True:
             if high < HALF:
                 pass
@@ -147,7 +132,7 @@ def arithmetic_decode(code: bytes, count: int) -> bytes:
                 low, high, value = low - QUARTER, high - QUARTER, value - QUARTER
             else:
                 break
-            low, high, value = 2 * low, 2 * high + 1, 2 * value + (bits[at] if at < len(bits) else 0)
+            low, high, value = 2 * low, 2 * high + 1, 2 * value + (bits[at] == "1" if at < len(bits) else 0)
             at += 1
     return bytes(out)
 
