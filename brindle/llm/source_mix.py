@@ -185,15 +185,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, _, mixed = mix(docs, id_col, text_col, source_col, **how)
     spans = mixed.groupBy("place", "id", "digest", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum(F.col("last") - F.col("first")).alias("n"))
-    copies = rows.where("size > 0").select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("digest").alias("d"), F.col("start").alias("at"), "size")
-    found = spans.join(copies, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")) & (F.col("start") == F.col("at")))
-    found = found.select("s", "i", "d", "size", "n", "spans", "turn", "at")
-    ranked = found.withColumn("rank", F.dense_rank().over(Window.partitionBy("s", "i", "d").orderBy("at")))
-    named = docs.withColumn("__d", F.xxhash64(text_col)).withColumn("__rank", F.row_number().over(Window.partitionBy(source_col, id_col, "__d").orderBy(F.lit(0))))
-    joined = named.join(ranked, named[id_col].eqNullSafe(ranked.i) & (named["__d"] == ranked.d) & named[source_col].cast("string").eqNullSafe(ranked.s) & (named["__rank"] == ranked["rank"]))
-    kept = [named[c] for c in docs.columns]
-    whole = F.col("n") == F.col("size")
-    out = joined.select(*kept, F.when(~whole, F.col("spans")).alias("__spans"))
+    copies = rows.where("size > 0").select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("digest").alias("__d"), F.col("start").alias("__at"), F.col("size").alias("__size"))
+    found = spans.join(copies, F.col("id").eqNullSafe(F.col("__i")) & (F.col("digest") == F.col("__d")) & (F.col("start") == F.col("__at")))
+    found = found.select("__s", "__i", "__d", "__at", F.when(F.col("n") < F.col("__size"), F.col("spans")).alias("__spans"))
+    ranked = found.withColumn("__rank", F.dense_rank().over(Window.partitionBy("__s", "__i", "__d").orderBy("__at")))
+    named = docs.withColumn("__digest", F.xxhash64(text_col)).withColumn("__copy", F.row_number().over(Window.partitionBy(source_col, id_col, "__digest").orderBy(F.lit(0))))
+    joined = named.join(ranked, named[id_col].eqNullSafe(ranked["__i"]) & (named["__digest"] == ranked["__d"]) & named[source_col].cast("string").eqNullSafe(ranked["__s"]) & (named["__copy"] == ranked["__rank"]))
+    out = joined.select(*(named[c] for c in docs.columns), "__spans")
     return _cut(out, docs, text_col, count_col)
 
 

@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-The terms of a text are the beginnings (4, 5 and 6 characters; the whole of a shorter word) of its distinct words,
+The terms of a text are the beginnings (5 to 10 characters; the whole of a shorter word) of its distinct words,
 lower-cased and without punctuation at their ends, so that inflected forms share a term. Terms are hashed to 2^18 buckets. Of these the machine takes the
 ones that a chi-square test finds most dependent on the label, each as 0 or 1. A score is
 sigmoid(bias + sum of weights + sum over pairs of <v_i, v_j>): the pairs are what an additive model misses, such as
@@ -30,10 +30,10 @@ from .common import load, staged
 from .labelled import fit_sample, fold
 
 BUCKETS = 1 << 18
-STEMS = (4, 5, 6)
+STEMS = (5, 6, 7, 8, 10)
 #: Bounds of the fit: rows a class, and buckets that the machine takes.
 PER_CLASS = 8192
-FEATURES = 2048
+FEATURES = 1024
 FACTORS = 8
 #: Words and terms that a task remembers; beyond that it starts anew.
 MEMO = 1_000_000
