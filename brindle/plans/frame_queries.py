@@ -10,17 +10,20 @@ from ..operators.frames import framed, overlapping
 from ..sources.views import FLOAT_SQL, MONO_SQL, STEREO_SQL, wave_float, wave_mono, wave_stereo
 from .registry import query
 
-_samples = F.expr("transform(array_sort(collect_list(struct(n, x))), s -> s.x)")
 LIST = "string_agg(CAST(x AS VARCHAR), ',' ORDER BY n)"
 
 
+def _samples() -> F.Column:
+    return F.expr("transform(array_sort(collect_list(struct(n, x))), s -> s.x)")
+
+
 def _joined(c) -> F.Column:
     return F.array_join(c.cast("array<string>"), ",")
 
 
 @query(f"WITH {MONO_SQL} SELECT track_id, n // 32 AS frame, count(*) AS c, {LIST} AS samples FROM wave GROUP BY ALL")
 def frames_tumbling(spark, sf_dir):
-    return framed(wave_mono(spark, sf_dir), 32).groupBy("track_id", "frame").agg(F.count(F.lit(1)).alias("c"), _joined(_samples).alias("samples"))
+    return framed(wave_mono(spark, sf_dir), 32).groupBy("track_id", "frame").agg(F.count(F.lit(1)).alias("c"), _joined(_samples()).alias("samples"))
 
 
 @query(f"WITH {MONO_SQL}, o AS (SELECT track_id, n, x, unnest(range(greatest(0, CAST(ceil((n - 31) / 24.0) AS BIGINT)), n // 24 + 1)) AS win FROM wave) SELECT track_id, win, count(*) AS c, CAST(sum(x) AS BIGINT) AS total, CAST(min(n - win * 24) AS BIGINT) AS first_at FROM o GROUP BY ALL")
@@ -42,7 +45,7 @@ def overlap_trim(spark, sf_dir):
 
 @query(f"WITH {MONO_SQL}, c AS (SELECT track_id, n // 50 AS clip, {LIST} AS samples, count(*) AS kept FROM wave GROUP BY ALL) SELECT track_id, clip, kept, samples || repeat(',0', CAST(50 - kept AS INT)) AS samples FROM c")
 def clip_partition_pad(spark, sf_dir):
-    clips = framed(wave_mono(spark, sf_dir), 50).groupBy("track_id", F.col("frame").alias("clip")).agg(F.count(F.lit(1)).alias("kept"), _samples.alias("s"))
+    clips = framed(wave_mono(spark, sf_dir), 50).groupBy("track_id", F.col("frame").alias("clip")).agg(F.count(F.lit(1)).alias("kept"), _samples().alias("s"))
     padded = F.concat("s", F.array_repeat(F.lit(0).cast("long"), (50 - F.col("kept")).cast("int")))
     return clips.select("track_id", "clip", "kept", _joined(padded).alias("samples"))
 
