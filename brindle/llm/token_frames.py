@@ -80,18 +80,22 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(of, "id long, ids binary")
 
 
-def write_frames(tokens: DataFrame, folder: str, files: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Writes id, ids rows as token files below folder; the index: file, part, frame, place, id, n_tokens, first."""
-    ranged = tokens.repartitionByRange(files or shuffle_width(tokens.sparkSession), "id").sortWithinPartitions("id", F.crc32("ids"))
+def write_frames(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """Encodes docs and writes them as token files below folder; the index: file, part, frame, place, id, n_tokens, first.
+
+    Texts are dealt out by ranges of ids and sorted before they are encoded: they are smaller than their ids.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ranged = rows.repartitionByRange(files or shuffle_width(docs.sparkSession), "id").sortWithinPartitions("id", F.xxhash64("text"))
 
     def of(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, encoder = TaskContext.get().partitionId(), ChunkEncoder(tokenizer, end_id)
         writer, name, first = None, f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin.zst", 0
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             rows = []
-            for i, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
                 writer = writer or FrameWriter(open_output(name), frame_bytes)
                 frame, place = writer.put(struct.pack(HEADER, i or 0, i is None, len(ids) // 4) + ids)
                 rows.append((name, part, frame, place, i, len(ids) // 4, first))
@@ -159,6 +163,5 @@ def op7_token_frames(spark, sf_dir):
     import public_tokenizers
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = staged(encoded(docs, public_tokenizers.path("byte_bpe_50k.json")), "tokens")
-    index = write_frames(tokens, fresh_path(spark, "token-files"))
+    index = write_frames(docs, public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-files"))
     return read_frames(manifest_of(index))

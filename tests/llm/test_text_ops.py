@@ -133,8 +133,7 @@ def test_token_frames(spark, odd, empty, docs):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     lib.encode_special_tokens = True
     for table in (odd, docs):
-        tokens = staged(token_frames.encoded(table, public_tokenizers.path("byte_bpe_50k.json")), "tokens")
-        index = token_frames.write_frames(tokens, fresh_path(spark, "files"), files=3, frame_bytes=2000)
+        index = token_frames.write_frames(table, public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "files"), files=3, frame_bytes=2000)
         got = token_frames.read_frames(token_frames.manifest_of(index)).orderBy("start").collect()
         want = [(r.doc_id, np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for r in table.collect()]
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(b) // 4, zlib.crc32(b)) for i, b in want)
@@ -142,7 +141,8 @@ def test_token_frames(spark, odd, empty, docs):
         assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()[:-1]]
         some = index.where("id in (3, 7, 9)")
         assert {(r.id, len(r.ids)) for r in token_frames.read_documents(some).collect()} == {(i, len(b) // 4) for i, b in want if i in (3, 7, 9)}
-    files = token_frames.write_frames(token_frames.encoded(empty, public_tokenizers.path("byte_bpe_50k.json")), fresh_path(spark, "files"))
+    files = token_frames.write_frames(empty, public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "files"))
+    assert token_frames.encoded(odd, public_tokenizers.path("byte_bpe_50k.json")).count() == odd.count()
     assert token_frames.read_frames(token_frames.manifest_of(files)).count() == 0
 
 
