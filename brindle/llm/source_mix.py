@@ -172,7 +172,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spans that its block consists of: shard, slot, turn, place, block, id, digest, start, first, last."""
     rows = placed(docs, id_col, text_col, source_col)
     plan = plan_of(rows, weights, most, block_words)
-    mixed = slots_of(plan, seed).join(segments_of(rows, plan, block_words), ["place", "block"])
+    # both sides grow with the corpus; without the hint the slots would be taken for as small as the range they come from
+    mixed = slots_of(plan, seed).hint("merge").join(segments_of(rows, plan, block_words), ["place", "block"])
     return rows, plan, mixed
 
 
