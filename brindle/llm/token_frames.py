@@ -16,11 +16,13 @@ that document. A file is named for its attempt, and the manifest lists those of
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from array import array
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -35,8 +37,8 @@ from .zstd_frames import FrameReader, FrameWriter
 HEADER = "<qBI"
 HEADER_BYTES = struct.calcsize(HEADER)
 FRAME_BYTES = 1 << 18
-#: Chunks that a task remembers; beyond that it starts anew.
-MEMO = 400_000
+#: Chunks that a worker remembers from task to task; beyond that it starts anew.
+MEMO = 300_000
 _LOOSE = re.compile(r"\s\s|^\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -45,6 +47,7 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once."""
 
     def __init__(self, tokenizer: str, end_id: int = 0):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and chunks are too small for threads
         from tokenizers import Tokenizer
 
         self.lib, self.end, self.memo = Tokenizer.from_file(tokenizer), array("I", [end_id]).tobytes(), {}
@@ -66,11 +69,17 @@ class ChunkEncoder:
             memo[x] = array("I", found.ids).tobytes()
 
 
+@lru_cache(1)
+def encoder_of(tokenizer: str, end_id: int) -> ChunkEncoder:
+    """One encoder a Python worker, which Spark uses for many tasks in turn."""
+    return ChunkEncoder(tokenizer, end_id)
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (packed unsigned 32-bit integers with the end id) of each row."""
 
     def of(batches):
-        encoder = ChunkEncoder(tokenizer, end_id)
+        encoder = encoder_of(tokenizer, end_id)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -91,7 +100,7 @@ def write_frames(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     def of(batches):
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), ChunkEncoder(tokenizer, end_id)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, end_id)
         writer, name, first = None, f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin.zst", 0
         for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             rows = []
