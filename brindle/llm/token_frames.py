@@ -6,8 +6,8 @@ and across files (null ids first). A manifest row a file has its token count, an
 frame and place in it, so a reader decompresses only the frames of the documents that it wants.
 
 Encoding memoises the library's own results. The byte-level pre-tokeniser always cuts before a space that stands
-between two characters that aren't white space, so a text is split there, and each distinct chunk (with its space)
-goes through the library once a task as long as the bounded memo holds it.
+between two characters that aren't white space, and before a line feed that does, so a text is split there, and each
+distinct chunk (with its space or line feed) goes through the library once a task as long as the bounded memo holds it.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows are repeated documents; an empty
 table gives no file and an empty result; very long texts may exceed the usual size of a frame, which then holds just
@@ -54,7 +54,7 @@ class ChunkEncoder:
         self.lib.encode_special_tokens = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [(_CUT.split(t) if _LOOSE.search(t) else t.split(" ")) if t else [] for t in texts]
+        cut = [(_CUT.split(t) if _LOOSE.search(t) else t.replace("\n", " \n").split(" ")) if t else [] for t in texts]
         if len(self.memo) > MEMO:
             self.memo = {}
         memo = self.memo
@@ -65,7 +65,7 @@ class ChunkEncoder:
 
     def _learn(self, memo: dict[str, bytes], chunks: set[str], before: str) -> None:
         chunks = list(chunks)
-        for x, found in zip(chunks, self.lib.encode_batch_fast([before + x for x in chunks], add_special_tokens=False)):
+        for x, found in zip(chunks, self.lib.encode_batch_fast([x if x[:1] == "\n" else before + x for x in chunks], add_special_tokens=False)):
             memo[x] = array("I", found.ids).tobytes()
 
 
