@@ -75,7 +75,7 @@ def mu_law_compress(spark, sf_dir):
     return wave_float(spark, sf_dir).select("track_id", "n", F.round(y, 6).alias("y"), (y * 127).cast("long").alias("q"))
 
 
-@query(f"WITH {FLOAT_SQL}, y AS (SELECT track_id, n, x, {MU} AS y FROM wave) SELECT track_id, n, round(x, 5) AS x, round(CAST(sign(y) AS DOUBLE) * (pow(256.0, abs(y)) - 1) / 255.0, 5) AS back FROM y")
+@query(f"WITH {FLOAT_SQL}, y AS (SELECT track_id, n, x, {MU} AS y FROM wave) SELECT track_id, n, round(x, 5) + 0.0 AS x, round(CAST(sign(y) AS DOUBLE) * (pow(256.0, abs(y)) - 1) / 255.0, 5) + 0.0 AS back FROM y")
 def mu_law_roundtrip(spark, sf_dir):
     return wave_float(spark, sf_dir).select("track_id", "n", F.round("x", 5).alias("x"), F.round(quant.mu_law_inverse(quant.mu_law("x")), 5).alias("back"))
 
