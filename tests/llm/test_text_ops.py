@@ -237,3 +237,16 @@ def test_classifiers_on_odd_rows(spark, odd, empty, operator):
     assert got.count() == odd.count() and all(0 <= r.score <= 1 for r in got.collect())
     assert {r.score for r in operator(odd, labels.limit(0), fold("doc_id", 3) >= 0).collect()} == {0.5}
     assert operator(empty, labels, fold("doc_id", 3) >= 0).count() == 0
+
+
+def test_chunk_encoder_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, encoder, rng = Tokenizer.from_file(path), token_frames.ChunkEncoder(path), random.Random(5)
+    texts = ["", " ", "\n", "a<|endoftext|> b", "a <|endoftext|>b", " lead", "trail  ", "\n\na\nb \n c", "a\x1cb c\x1fd", "it's don't' x''s l'' a'S. b.' D'] ok.)\"", "\u2167. \u00aa. \u02b0. x\u00b2, \u0250."]
+    texts += ["".join(rng.choices("ab \n\t\r\u3000\x1c'1\u00e9\u65e5<|>.s-)", k=rng.randint(0, 30))) for _ in range(2000)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids == np.array([*lib.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
