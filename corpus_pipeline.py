@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which run() writes as Parquet in the shared folder and
 reads again as the next stage's docs. All but the last keep the columns of docs, extra ones included. Null and empty
-texts, repeated rows and empty tables pass through every stage as its operator defines; repeated rows end as one
-document after the near-duplicate stage.
+texts, repeated rows and empty tables pass through every stage as its operator defines; repeated rows (of one id and
+one text) end as one document after the near-duplicate stage, null and reused ids of other texts lose nothing there.
 """
 
 from __future__ import annotations
@@ -37,12 +37,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near-duplicates, the document with the smallest doc_id."""
-    groups = staged(simhash_groups(docs), "groups")
-    dropped = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.join(dropped, docs.doc_id.eqNullSafe(dropped.id), "left_anti")
-    ids = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if ids.limit(1).count() else kept
+    """Keeps, of each group of near-duplicates, the document with the smallest doc_id, or any id rather than none.
+
+    A row goes by its id and its text together, so that null ids and ids of several texts decide nothing about other rows.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("digest"))
+    groups = staged(simhash_groups(docs.select(key.alias("key"), "text"), "key"), "groups")
+    dropped = groups.where("id <> component_id").select(F.col("id").alias("__key")).distinct()
+    repeated = groups.where("id = component_id").groupBy("id").count().where("count > 1").limit(1).count()
+    kept = docs.withColumn("__key", key).join(dropped, "__key", "left_anti")
+    return (kept.dropDuplicates(["__key"]) if repeated else kept).drop("__key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,3 +176,17 @@ def test_pipeline(spark):
         for name, stage in pipeline.STAGES:
             at = staged(stage(spark, at, SF), "stage")
         assert at.count() <= rows.count() * 3
+
+
+def test_near_copies_go_by_row_where_ids_are_null_or_reused(spark):
+    import corpus_pipeline as pipeline
+
+    words = np.random.default_rng(3).permutation([f"w{i}" for i in range(4000)]).tolist()
+    texts = [" ".join(words[200 * i : 200 * i + 200]) for i in range(12)]
+    upper = texts[0].upper()  # the same fingerprint as texts[0]
+    rows = [(1, texts[0]), (None, upper), (None, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (7, texts[4]), (7, texts[5]), (8, texts[6]), (9, texts[7]), (9, texts[6]), (None, texts[8].upper()), (None, texts[8])]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text.lower()) for r in pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    want = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[4]), (7, texts[5]), (8, texts[6]), (9, texts[7]), (None, texts[8])]
+    assert got == sorted(want, key=str)
+    assert pipeline.drop_near_copies(spark, docs, SF).columns == docs.columns
