@@ -156,6 +156,33 @@ def test_embeddings_count_links_over_block_borders(spark, monkeypatch):
     assert got == {i: int(n) for i, n in enumerate((x @ x.T >= 0.95).sum(1) - 1)}
 
 
+def hot_cone(n, pairs, cone, cosine=0.955, size=64):
+    """n vectors of this mean cosine and, for the first of them, a partner each at just over the threshold."""
+    rng = np.random.default_rng(1)
+
+    def sphere(k):
+        x = rng.normal(size=(k, size - 1))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    x, y = sphere(n), sphere(pairs)
+    y -= (y * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = (cosine - cone) / (1 - cone)
+    x = np.sqrt(1 - cone) * np.vstack([x, near * x[:pairs] + np.sqrt(1 - near**2) * y])
+    return np.hstack([np.full((n + pairs, 1), np.sqrt(cone)), x]).astype(np.float32)
+
+
+def found_pairs(spark, x, n, pairs):
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    at = {r.id: r.component_id for r in embedding_passes.embedding_groups(frame).collect()}
+    return np.mean([at[i] == at[n + i] for i in range(pairs)]), at
+
+
+def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark, monkeypatch):
+    monkeypatch.setattr(embedding_passes, "EXACT", 1000, raising=False)
+    assert found_pairs(spark, hot_cone(12000, 300, 0.85), 12000, 300)[0] >= 0.99
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
