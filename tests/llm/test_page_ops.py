@@ -183,6 +183,15 @@ def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark, monkeypatch):
     assert found_pairs(spark, hot_cone(12000, 300, 0.85), 12000, 300)[0] >= 0.99
 
 
+def test_embeddings_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(embedding_passes, "EXACT", 1000, raising=False)
+    x, found = hot_cone(3000, 300, 0.8), []
+    for width in ("4", "200"):
+        monkeypatch.setattr(embedding_passes, "shuffle_width", lambda spark, width=int(width): width)
+        found.append(found_pairs(spark, x, 3000, 300))
+    assert found[0] == found[1] and found[1][0] >= 0.99
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
