@@ -48,6 +48,19 @@ def test_small_pages(spark, html, text):
         assert found == text
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<p>a</p><svg/><p>b</p>", "a b"),
+        ("<p>a</p><svg viewBox='0 0 1 1' /><p>b</p><svg><text>no</text></svg><p>c</p>", "a b c"),
+        ("<p>a <math/> b</p>", "a b"),
+        ("<p>a</p><svg><svg/><svg><text>no</text></svg><text>no</text></svg ><p>b</p>", "a b"),
+    ],
+)
+def test_self_closed_and_nested_svg(inner, text):
+    assert host_suffix.split_page(page(f"<article>{inner}</article>"))[0] == text
+
+
 def brute_repeats(streams, depth):
     seen = {}
     for host, words in streams:
