@@ -96,6 +96,20 @@ def test_hosts_decide_where_structure_is_silent(spark):
     assert {(r.host, r.key) for r in host_suffix.repeated_runs(frame, 4).collect()} == keys
 
 
+def test_hosts_leave_near_copies_and_shared_passages(spark):
+    menu = "home news sport weather shop about help contact us now"
+    words = iter(np.random.default_rng(4).permutation([f"w{i}" for i in range(3000)]).tolist())
+    body = lambda n: " ".join(next(words) for _ in range(n))
+    story, passage, other, own = body(120), body(60), [body(50) for _ in range(6)], [body(90), body(80)]
+    near = story.replace(story.split()[60], "changed")
+    rows = [(1, "http://two/1", page(f"<div>{story}</div>")), (2, "http://two/2", page(f"<div>{near}</div>"))]
+    rows += [(3, "http://m/3", page(f"<div>{menu}</div><div>{story}</div>")), (4, "http://m/4", page(f"<div>{menu}</div><div>{near}</div>"))]
+    rows += [(5 + i, f"http://m/{5 + i}", page(f"<div>{menu}</div><p>{own[i]}</p><p>{passage}</p>")) for i in range(2)]
+    rows += [(7 + i, f"http://m/{7 + i}", page(f"<div>{menu}</div><p>{other[i]}</p>")) for i in range(3)]
+    got = {r.id: r.text for r in host_suffix.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: story, 2: near, 3: story, 4: near, 5: f"{own[0]} {passage}", 6: f"{own[1]} {passage}", **{7 + i: other[i] for i in range(3)}}
+
+
 def test_pages_table_matches_a_plain_reading(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     got = {r.id: r.text for r in host_suffix.main_texts(pages).collect()}
