@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import lzma
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from ..operators.frames import framed, residual_frames, residual_sql
 from ..operators.registry import CODERS
 from ..sources.views import BYTES_SQL, MONO_SQL, byte_chunks, wave_mono
 from ..sources.wav import read_wav, write_wav
-from ..streaming.windows import shared_dir
+from ..session import fresh_path
 from .registry import query
 
 RES = residual_sql(MONO_SQL)
@@ -118,7 +117,7 @@ def coder_matrix(spark, sf_dir):
 def wav_sink_source_roundtrip(spark, sf_dir):
     """Tracks as WAV files in the shared folder, and back. A file holds a whole track, as the format wants."""
     tracks = _lists(wave_mono(spark, sf_dir).withColumn("x", F.col("x") - 20000), "x", "track_id").select("track_id", F.transform("v", lambda x: F.greatest(F.least(x, F.lit(32767)), F.lit(-32768))).alias("samples"))
-    folder = f"{shared_dir(spark)}/brindle/wav-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "wav")
     written = write_wav(tracks, folder)
     written.agg(F.sum("n")).collect()
     back = read_wav(spark, folder).select("track_id", "rate", F.col("samples").alias("back"))

@@ -1,9 +1,10 @@
-"""Gets the package to the executors."""
+"""Gets the package to the executors, and names the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +29,24 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     sc.addPyFile(name)
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where none is set, one of our own if all tasks run on this machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file:///tmp/checkpoints/brindle-{os.getpid()}"
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Has the application remove a path of the shared folder when it ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

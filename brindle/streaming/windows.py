@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share, or one of our own where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/brindle-{os.getpid()}").rstrip("/")
+from ..session import fresh_path
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -33,7 +27,7 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the stream over the events file once, as far as it goes, and gives what it wrote."""
     path = f"{sf_dir}/events.parquet"
-    out = f"{shared_dir(spark)}/brindle/stream-{uuid.uuid4().hex}"
+    out = fresh_path(spark, "stream")
     stream = _stream(spark, path)
     hours = hourly(stream)
 
