@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import drop_at_end, fresh_path, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -21,30 +21,41 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
-    ship(spark)
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/brindle-{os.getpid()}").rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage and outlives lost executors."""
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage and outlives lost executors.
+
+    The table goes when unstage is called on it, or else when the application ends.
+    """
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
     df.write.parquet(path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Removes a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot if it has more than this share of all rows; so there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 4096
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with groups on key, whatever the share of one key in rows. groups: one row a key, its count of rows.
+
+    Keys with more than HOT_SHARE of all total rows are fewer than 4,096, so their groups (which must be narrow) are
+    broadcast and their rows stay where they are; the other rows are shuffled by key, none of which is hot.
+    """
+    hot = groups.where(F.col(count) > int(total * HOT_SHARE))
+    cold = groups.where(F.col(count) <= int(total * HOT_SHARE))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -56,6 +67,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def parts_of(batch: pa.RecordBatch, part_bytes: int, column: int = 1):
+    """Runs of rows of about part_bytes of text, or single longer ones, so that a task's memory doesn't depend on lengths."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // part_bytes
+    starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    for at, end in zip(starts, [*starts[1:], len(batch)]):
+        yield batch.slice(at, end - at)
+
+
 def open_output(uri: str):
     """A writable stream for a URI of any file system that Arrow knows, from within a task."""
     from pyarrow import fs

@@ -57,14 +57,41 @@ def test_exact_dedup(odd, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_exact_dedup_chains_colliding_keys_and_splits(spark, odd):
+def dedup_rows(found):
+    return sorted((r.doc_id, r.keep_id, r.group_size) for r in found.collect())
+
+
+def test_exact_dedup_chains_colliding_keys_and_splits(spark):
     wide = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 1500) AS text")
-    want = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(wide).collect())
-    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(wide, key_bits=6, capacity=10).collect()) == want
-    index = exact_dedup.build_index(wide, capacity=10)
-    assert index.agg({"chain_pos": "max"}).first()[0] == 1
-    depth = index.groupBy("bucket").count().agg({"count": "max"}).first()[0]
-    assert depth <= 10
+    want = sorted((i, max(range(i % 1500, 4000, 1500)), len(range(i % 1500, 4000, 1500))) for i in range(4000))
+    for how in ({}, {"capacity": 10}, {"key_bits": 6, "capacity": 10}, {"key_bits": 6, "hot_share": 1.0}, {"capacity": 10, "max_depth": 3}):
+        assert dedup_rows(exact_dedup.exact_dedup(wide, **how)) == want
+    entries = exact_dedup.build_index(wide, capacity=10).select("bucket", "local_depth", "key", "chain_pos").distinct()
+    assert entries.count() == 1500 and entries.agg({"chain_pos": "max"}).first()[0] == 1
+    assert entries.groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 10
+    chained = exact_dedup.build_index(wide, key_bits=6, capacity=10)
+    assert chained.agg({"chain_pos": "max"}).first()[0] > 10 and chained.select("key", "chain_pos").distinct().count() == 1500
+
+
+def test_exact_dedup_results_come_from_the_owners_chains(spark, monkeypatch):
+    wide = spark.range(600).selectExpr("id AS doc_id", "concat('text ', id % 100) AS text")
+    want = dedup_rows(exact_dedup.exact_dedup(wide))
+    with monkeypatch.context() as broken:  # chains that don't compare bytes take colliding keys for one text
+        broken.setattr(exact_dedup, "TEXT", exact_dedup.CHAIN)
+        assert dedup_rows(exact_dedup.exact_dedup(wide, key_bits=3, hot_share=1.0)) != want
+    with monkeypatch.context() as broken:  # a directory that has lost a leaf loses its rows
+        whole = exact_dedup.directory_of
+        broken.setattr(exact_dedup, "directory_of", lambda *a: whole(*a).where("leaf <> 0"))
+        assert len(dedup_rows(exact_dedup.exact_dedup(wide, key_bits=3, hot_share=1.0))) < 600
+    assert dedup_rows(exact_dedup.exact_dedup(wide, key_bits=3, hot_share=1.0)) == want
+
+
+def test_exact_dedup_hot_text_and_clashing_columns(spark):
+    rows = spark.range(9000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'THE same', concat('text ', id div 2)) AS text", "id % 7 AS key", "'x' AS body", "id AS local_depth", "'y' AS bucket", "id AS row", "'z' AS owner", "'k' AS kept")
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(rows).collect()}
+    assert len(got) == 9000 and all((r.key, r.body, r.local_depth, r.bucket, r.row, r.owner) == (i % 7, "x", i, "y", i, "z") for i, r in got.items())
+    assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (8997, 3000, i == 8997) for i in range(0, 9000, 3))
+    assert exact_dedup.exact_dedup(rows, columns=["doc_id"]).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
 
 def brute_print(text):
