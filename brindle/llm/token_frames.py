@@ -28,12 +28,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, load, open_input, open_output, shuffle_width, staged
+from .common import fresh_path, load, open_input, open_output, parts_of, shuffle_width, staged
 from .zstd_frames import FrameReader, FrameWriter
 
 #: id, whether it is null, number of token ids.
@@ -127,15 +126,6 @@ class ChunkEncoder:
                 begin = end
 
 
-def parts_of(batch: pa.RecordBatch):
-    """Runs of rows of about PART_BYTES of text, or single longer ones, so that a task's memory doesn't depend on lengths."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = (np.cumsum(sizes) - sizes) // PART_BYTES
-    starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
-    for at, end in zip(starts, [*starts[1:], len(batch)]):
-        yield batch.slice(at, end - at)
-
-
 @lru_cache(1)
 def encoder_of(tokenizer: str, end_id: int) -> ChunkEncoder:
     """One encoder a Python worker, which Spark uses for many tasks in turn."""
@@ -148,7 +138,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc
     def of(batches):
         encoder = encoder_of(tokenizer, end_id)
         for batch in batches:
-            for part in parts_of(batch):
+            for part in parts_of(batch, PART_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(encoder.encode(texts), pa.binary())], names=["id", "ids"])
 
@@ -168,7 +158,7 @@ def write_frames(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
         part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, end_id)
         writer, name, first = None, f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin.zst", 0
-        for batch in (part for b in batches for part in parts_of(b)):
+        for batch in (part for b in batches for part in parts_of(b, PART_BYTES)):
             rows = []
             for i, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
                 writer = writer or FrameWriter(open_output(name), frame_bytes)
