@@ -173,44 +173,85 @@ def test_token_frames(spark, odd, empty, docs):
     assert token_frames.read_frames(token_frames.manifest_of(files)).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 1000, 5, 0], [7], [], [100, 1, 1, 1, 50, 300]])
-def test_targets(sizes):
-    found = source_mix.targets(sizes)
-    assert abs(sum(found) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
-    assert all(t <= 3 * n + 1e-9 for t, n in zip(found, sizes))
-    open_ = [(t / w) for t, n, w in zip(found, sizes, itertools.cycle((5, 2, 1))) if t < 3 * n - 1e-9]
-    assert not open_ or max(open_) - min(open_) < 1e-6 * max(open_)
-
-
-def test_permutation_and_shard_counts():
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    out, stopped, left = {}, set(), sum(sizes)
+    while True:
+        share = sum(weights[i % 3] for i in range(len(sizes)) if i not in stopped)
+        over = {i for i in range(len(sizes)) if i not in stopped and left * weights[i % 3] / share > most * sizes[i]}
+        if not over:
+            return [most * n if i in stopped else left * weights[i % 3] / share for i, n in enumerate(sizes)] if share else [0.0] * len(sizes)
+        stopped |= over
+        left -= sum(most * sizes[i] for i in over)
+
+
+def test_targets(spark):
+    for sizes in ([10, 10, 10], [1, 1000, 5, 0], [7], [], [100, 1, 1, 1, 50, 300], [0, 0], [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]):
+        names = [f"s{i:03d}" for i in range(len(sizes))]
+        names[-1:] = [None] if names else []  # null comes last
+        plan = source_mix.plan_of(spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long").repartition(3)).collect()
+        at = {r.source: r for r in plan}
+        assert [at[n].place for n in names] == list(range(len(names)))
+        found = [at[n].target for n in names]
+        assert found == pytest.approx(plain_targets(sizes)) and abs(sum(found) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
+        assert all(t <= 3 * n + 1e-9 and at[s].slots <= 3 * at[s].blocks for t, n, s in zip(found, sizes, names))
+
+
+def test_permutation_and_shard_counts(spark):
     for n in (1, 2, 3, 10, 257, 1000):
         assert sorted(source_mix.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
-    totals = np.array([100, 0, 7, 901])
-    counts, before = zip(*(source_mix.shard_counts(totals, 9, k, 1) for k in range(9)))
-    assert np.sum(counts, 0).tolist() == totals.tolist()
-    assert [b.tolist() for b in before] == [np.sum(counts[:k], 0, dtype=int).tolist() if k else [0] * 4 for k in range(9)]
+    totals, seen, sizes = np.array([100, 0, 7, 901]), np.zeros(4, int), []
+    for shard, some, counts, before in source_mix.shard_counts(totals, 9, [1, 0]):
+        assert before.tolist() == seen[some].tolist() and (counts > 0).all()
+        seen[some] += counts
+        sizes.append(counts.sum())
+    assert seen.tolist() == totals.tolist() and len(sizes) == 9 and max(sizes) - min(sizes) <= 1
+    # over several runs each source's slots are dealt exactly once, whether it has fewer or more than there are runs
+    plan = spark.createDataFrame([(0, 5000, 9000), (1, 3, 7), (2, 1, 1), (3, 1, 0), (4, 40, 120)], "place long, blocks long, slots long")
+    got = source_mix.slots_of(plan, slots=16).collect()
+    assert len(got) == 9000 + 7 + 1 + 120 and len({(r.shard, r.slot) for r in got}) == len(got)
+    uses = Counter((r.place, r.block, r.turn) for r in got)
+    assert max(uses.values()) == 1 and all(b < {0: 5000, 1: 3, 2: 1, 4: 40}[p] for p, b, _ in uses)
+    by_shard = Counter(r.shard for r in got)
+    assert max(by_shard.values()) <= 16 and np.mean([n >= 15 for n in by_shard.values()]) > 0.9
+
+
+def plain_taken(rows, plan, seed=1):
+    """(place, start) -> words taken, by walking every slot of every source."""
+    taken = Counter()
+    for p in plan:
+        uses = Counter()
+        for j in range(p.slots):
+            key = (seed * 1_000_003 + p.place) * 1_000_003 + j // p.blocks
+            uses[int(source_mix.permuted(np.array([j % p.blocks]), p.blocks, key)[0])] += 1
+        for r in rows:
+            if r.place == p.place and r["size"]:
+                taken[r.place, r.start] = sum(uses[w // source_mix.BLOCK_WORDS] for w in range(r.start, r.start + r["size"]))
+    return taken
 
 
 def test_mix(spark, odd, empty, docs):
-    for table in (docs, odd):
+    for table in (docs.limit(60), odd):
+        table = staged(table, "some")
         rows, plan, mixed = source_mix.mix(table)
         sizes = Counter({None: 0})
         for r in table.collect():
             sizes[r.source] += len(WORDS.findall(r.text or ""))
         plans = {r.source: r for r in plan.collect()}
         assert {s: r.source_size for s, r in plans.items()} == {s: n for s, n in sizes.items() if s in plans}
-        spans = mixed.collect()
-        taken = Counter()
+        spans, laid = mixed.collect(), rows.collect()
+        assert len(laid) == table.count()
+        for s, r in plans.items():  # a source's documents lie end to end
+            at = sorted((x.start, x["size"]) for x in laid if x.place == r.place and x["size"])
+            assert [a for a, _ in at] == [0, *np.cumsum([n for _, n in at]).tolist()][: len(at)]
+        taken, by_row = Counter(), Counter()
         places = {r.place: s for s, r in plans.items()}
         for r in spans:
             taken[places[r.place]] += r["last"] - r["first"]
+            by_row[r.place, r.start] += r["last"] - r["first"]
         for s, r in plans.items():
             assert abs(taken[s] - r.target) <= 2 * source_mix.BLOCK_WORDS + 0.02 * r.target, (s, taken[s], r.target)
-        by_row = Counter()
-        for r in spans:
-            by_row[r.place, r.start] += r["last"] - r["first"]
-        placed = {(plans[r.source].place, r.start): r["size"] for r in rows.collect() if r["size"]}
-        assert all(n <= 3 * placed[k] for k, n in by_row.items())
+        assert by_row == +plain_taken(laid, plans.values())
+        assert all(by_row[r.place, r.start] <= 3 * r["size"] for r in laid if r["size"])
         again = source_mix.mix(table.repartition(3))[2].collect()
         key = lambda r: (r.shard, r.slot, r.id is None, r.id, r.first, r.last)
         assert Counter(map(key, again)) == Counter(map(key, spans))
@@ -220,6 +261,16 @@ def test_mix(spark, odd, empty, docs):
     assert source_mix.mix(empty)[2].count() == 0 and source_mix.mixed_documents(empty).count() == 0
 
 
+def test_mix_of_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "COPIES", 7)
+    table = spark.range(100).selectExpr("id div 50 AS doc_id", "if(id < 50, 'a b c d e', 'f g') AS text", "'s' AS source", "id AS spans")
+    rows, plan, mixed = source_mix.mix(table)
+    assert sorted((r.id, r.copy) for r in rows.collect()) == [(i, k) for i in (0, 1) for k in range(50)]
+    copies = source_mix.mixed_documents(table).collect()
+    assert sum(len(r.text.split()) for r in copies) == mixed.selectExpr("sum(last - first)").first()[0] == plan.first().source_size == 350
+    assert len({r.spans for r in copies}) == len(copies) == 100
+
+
 def held_out(spark, operator, label, folds, out):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     found = operator(docs.select("doc_id", "text"), labels, fold("doc_id", folds) != out)
