@@ -3,7 +3,10 @@
 A bundle is a run of independent frames that hold whole WARC/1.1 records, with a seek table at its end; the index maps
 a record's id to its file, frame and the offset within that frame's content, so that one record is read by
 decompressing one frame. Of the records with equal payloads, one is a response and the others are revisits that
-refer to it. Which one is decided by an aggregation over digests, which combines on the map side.
+refer to it. Which one is decided over digests and ids alone: an aggregation over digests, which combines on the map
+side, and a list of the rows that are revisits, which is joined back to the pages by id and digest. Spark broadcasts
+that list where its table is small and shuffles by both keys where it isn't, so no payload goes by its digest and
+payloads below `min_revisit` bytes don't move at all.
 
 Defined results: a null payload is empty; payloads below `min_revisit` bytes are always responses; repeated rows are
 repeated records, and all rows of the least id are responses; a row with a null id is written with an empty id and
@@ -20,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, load, open_input, open_output, shuffle_width, staged
+from ..session import ship
+from .common import fresh_path, hot_join, load, open_input, open_output, shuffle_width, staged
 from .zstd_frames import FrameReader, FrameWriter
 
 FRAME_BYTES = 1 << 18
@@ -80,13 +84,18 @@ def parsed(fields: dict[bytes, bytes], block: bytes) -> tuple[int | None, int, s
 
 def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """id, url, payload, digest, refers_to, revisit of each page."""
+    ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= min_revisit)
-    repeated = large.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
-    found = rows.join(repeated, "digest", "left")
-    revisit = F.coalesce((F.col("first_id").isNotNull()) & ~F.col("id").eqNullSafe(F.col("first_id")), F.lit(False))
-    return found.select("id", "url", "payload", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
+    small, large = rows.where(F.octet_length("payload") < min_revisit), rows.where(F.octet_length("payload") >= min_revisit)
+    small, large = (x.withColumn("digest", F.sha2("payload", 256)) for x in (small, large))
+    named = large.select("id", "digest")
+    repeated = staged(named.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null"), "repeated")
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    revisits = hot_join(named, repeated, "digest", "n", total).where(~F.col("id").eqNullSafe(F.col("first_id"))).select(F.col("id").alias("i"), F.col("digest").alias("d"), "first_id").distinct()
+    revisits = staged(revisits, "revisits")
+    found = large.join(revisits, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
+    found = found.select("id", "url", "payload", "digest", F.col("first_id").alias("refers_to"), F.col("first_id").isNotNull().alias("revisit"))
+    return found.union(small.select("id", "url", "payload", "digest", F.lit(None).cast("long"), F.lit(False)))
 
 
 def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
