@@ -17,10 +17,12 @@ def fold(id_col: str, folds: int) -> Column:
 def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", classes: Iterable[int] = (0, 1)) -> DataFrame:
     """text, y of at most per_class labelled training rows a class: those whose ids hash lowest, so reruns agree.
 
-    The bound makes the ids small enough to broadcast, so no text is shuffled. Rows with a null or other label, and
+    The bound makes the ids small enough to broadcast, so only the sample's texts are shuffled. Of several rows under
+    one id the least text counts, so that the bound holds for rows as well; an id labelled both ways is in both classes. Rows with a null or other label, and
     labels of ids that aren't in docs, are left out; a label that is there twice counts once.
     """
-    named = labels.where(train).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).distinct()
-    order = (F.xxhash64("__id", F.lit(7)), F.col("__id"))
+    named = labels.where(train).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    order = (F.xxhash64("id", F.lit(7)), F.col("id"))
     chosen = reduce(DataFrame.union, (named.where(F.col("y") == c).orderBy(*order).limit(per_class) for c in classes))
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "y")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y")

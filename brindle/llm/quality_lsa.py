@@ -6,8 +6,10 @@ and how long it is. Terms are hashed to `DIMENSIONS` columns and weighted by log
 frequency; a singular value decomposition of the labelled rows' matrix turns them into vectors of `RANK` numbers.
 
 The labelled vectors are at most `per_class` a class (a documented bound), so they are broadcast. Every document is
-compared with each of them: exact cosine products in blocks of documents, no index and no candidates. The `NEIGHBOURS`
-nearest vote, weighted by the similarity's power and by how rare their label is, and the score is label 1's share.
+compared with each of them: exact cosine products in double precision in blocks of documents, no index and no
+candidates. The `NEIGHBOURS` nearest vote, weighted by a power of the similarity, and the score is label 1's share.
+Similarities count to `PLACES` decimal places, and all labelled rows as near as the last of the nearest vote too, so
+that neither the order of rows nor the last bits of a product decide.
 
 Defined results: a null text counts as empty; a text without terms has a vector all the same (of its length), and so
 a score; repeated rows are scored alike; texts are read whole; without training rows every score is 0.5; an empty
@@ -27,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import load
 from .labelled import fit_sample, fold
 
@@ -36,6 +39,8 @@ PER_CLASS = 3072
 NEIGHBOURS = 15
 #: How steeply a neighbour's vote falls with its distance.
 SHARPNESS = 8
+#: Decimal places to which a similarity counts.
+PLACES = 9
 BLOCK = 512
 #: Words that a task remembers; beyond that it starts anew.
 MEMO = 400_000
@@ -82,7 +87,7 @@ class TermCounter:
 
 @dataclass
 class QualityModel:
-    """weights (of columns), basis (columns x rank), vectors (normalised, of labelled rows), votes (their weights)."""
+    """weights (of columns), basis (columns x rank), vectors (normalised, of labelled rows), y (their labels)."""
 
     weights: np.ndarray
     basis: np.ndarray
@@ -90,18 +95,19 @@ class QualityModel:
     y: np.ndarray
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        z = (x * self.weights) @ self.basis
+        z = (x * self.weights).astype(np.float64) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Exact cosines with all labelled vectors, then the nearest vote."""
         if not len(self.y):
             return np.full(len(x), 0.5)
-        cosines = self.project(x) @ self.vectors.T
+        cosines = np.round(self.project(x) @ self.vectors.T, PLACES)
         k = min(NEIGHBOURS, len(self.y))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosines, near, 1).astype(float), 1e-3, 1) ** SHARPNESS
-        return (weight * self.y[near]).sum(1) / weight.sum(1)
+        last = np.partition(cosines, len(self.y) - k, axis=1)[:, len(self.y) - k]
+        row, near = np.nonzero(cosines >= last[:, None])
+        weight = np.clip(cosines[row, near], 1e-3, 1) ** SHARPNESS
+        return np.bincount(row, weight * self.y[near], len(x)) / np.bincount(row, weight, len(x))
 
 
 def fit_model(x: np.ndarray, y: np.ndarray, rank: int = RANK, seed: int = 1) -> QualityModel:
@@ -114,7 +120,7 @@ def fit_model(x: np.ndarray, y: np.ndarray, rank: int = RANK, seed: int = 1) ->
         basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
     inner = weighted @ basis
     values, turn = np.linalg.eigh(inner.T @ inner)
-    basis = (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    basis = basis.astype(np.float64) @ turn[:, np.argsort(-values)[:rank]]
     model = QualityModel(weights, basis, np.zeros((0, rank), np.float32), y.astype(float))
     model.vectors = model.project(x)
     return model
@@ -123,6 +129,8 @@ def fit_model(x: np.ndarray, y: np.ndarray, rank: int = RANK, seed: int = 1) ->
 def fit(sample: DataFrame, rank: int = RANK) -> QualityModel:
     """The model of a sample with columns text, y; the sample must be bounded."""
 
+    ship(sample.sparkSession)
+
     def of(batches):
         counter = TermCounter()
         for batch in batches:
@@ -141,6 +149,7 @@ def fit(sample: DataFrame, rank: int = RANK) -> QualityModel:
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
     """docs with `score`, from one pass over the whole texts."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != "score"]
     at = kept.index(text_col)
