@@ -11,7 +11,8 @@ Pigeonhole for at most three differing bits: either one segment is equal and ano
 of B and one half of C are equal (tables 6 to 9: codeword of A and those halves). Keys have 30 to 35 bits. Candidates
 are verified in the join itself, so that only true links leave it, and no link within three bits is lost.
 
-Equal fingerprints are one node, so copies cost nothing. Defined results: a null or empty text, or one of white
+Equal fingerprints are one node, so copies cost nothing; rows of a fingerprint or component that very many share get
+their component where they are (`hot_join`). Defined results: a null or empty text, or one of white
 space alone, has fingerprint zero, linked like any other; fewer than three words make one shingle; repeated rows
 share their group; an empty table gives an empty result.
 """
@@ -27,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, staged
+from ..session import ship
+from .common import hot_join, load, staged, unstage
 from .components import components
 
 MAX_BITS = 3
+#: Shingles whose bits are counted at a time.
+CHUNK = 1 << 16
 # The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 
@@ -43,12 +47,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (the fingerprint's bits as a long) of each row."""
+    ship(docs.sparkSession)
 
     def of(batches):
         for batch in batches:
@@ -131,13 +138,15 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp, component_id (the smallest id reachable) of each row."""
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
+    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "nodes")
+    count, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = components(fingerprint_links(nodes))
-    named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
     named = staged(named, "named")
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = staged(named.join(least, "component").select("fp", "component_id"), "groups")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    least = staged(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "least")
+    groups = staged(hot_join(named.drop("least_id"), least, "component", "size", count).select("fp", "n", "component_id"), "groups")
+    unstage(nodes, named, least)
+    return hot_join(prints, groups, "fp", "n", total).select("id", "fp", "component_id")
 
 
 def op10_simhash_dedup(spark, sf_dir):
