@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from ..session import ship
 from .common import HOT_SHARE, ascii_lower, load, shuffle_width, staged, unstage
 
-CAPACITY = 20_000
+CAPACITY = 500
 #: Bits of a leaf: 2^18 leaves take about 16 MB where they are broadcast.
 MAX_DEPTH = 18
 #: Owners to a task, so that tasks get about equal shares.
