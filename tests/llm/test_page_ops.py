@@ -1,11 +1,13 @@
 """HTML extraction, WARC bundles, vectors and the pipeline."""
 
 import hashlib
-import itertools
 import re
+import time
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from brindle.llm import embedding_passes, host_suffix, warc_bundles
 from brindle.llm.common import fresh_path, staged
@@ -21,9 +23,9 @@ ARTICLE = page("<nav><a href=x>Home</a></nav><div class=ad>Buy</div><article><he
 
 
 def test_article_blocks():
-    text, undecided, outside = host_suffix.split_page(ARTICLE)
+    text, stream = host_suffix.split_page(ARTICLE)
     assert text == "Head & line One two three Four five"
-    assert undecided == "" and "Home" in outside and "foot" in outside
+    assert stream == "0Home\n0Buy\nA\n0by me\nA\n0side\n0I say\n0foot"
 
 
 @pytest.mark.parametrize(
@@ -35,17 +37,16 @@ def test_article_blocks():
         ("<p>a<p>b &lt;c&gt; &#233;<!-- no -->", "a b <c> é"),
         (page("<main><p>in main</p></main><p>out</p>"), "in main"),
         (page("<div role=navigation>menu</div><div style='display: none'>x</div><p hidden>y</p><p>kept</p>"), "kept"),
-        (page("<p title='a > b'>quoted</p><p class=\"unclosed>tail"), None),
+        (page("<p title='a > b'>quoted</p><p class=\"unclosed>tail"), "quoted tail"),
         (page("<article class=comment>no</article><p>yes</p>"), "yes"),
         (page("<form><p>f</p></form><div class='cookie-banner'>c</div><div class='with-sidebar'>kept</div><textarea>t</textarea>"), "kept"),
         ("<article><p>cut &am", "cut &am"),
     ],
 )
-def test_small_pages(spark, html, text):
-    article, undecided, _ = host_suffix.split_page(html)
-    found = article if article is not None else host_suffix.unique_runs(undecided, None)
-    if text is not None:
-        assert found == text
+def test_small_pages(html, text):
+    article, stream = host_suffix.split_page(html)
+    found = article if article is not None else host_suffix.decide(stream, None, None)
+    assert found == text
 
 
 @pytest.mark.parametrize(
@@ -61,21 +62,37 @@ def test_self_closed_and_nested_svg(inner, text):
     assert host_suffix.split_page(page(f"<article>{inner}</article>"))[0] == text
 
 
-def brute_repeats(streams, depth):
-    seen = {}
-    for host, words in streams:
-        row = words.split()
-        for i in range(len(row) - depth + 1):
-            seen.setdefault((host, tuple(row[i : i + depth])), set()).add(words)
-    return {k for k, pages in seen.items() if len(pages) > 1}
+def test_deep_and_unmatched_tags_take_linear_time():
+    for html in ("<div>" * 100_000 + "</p>" * 100_000 + "x", "<b><div>" * 50_000 + "</b>" * 100_000 + "x", "<svg>" * 50_000 + "</div>" * 50_000, "<li>x" * 50_000, "&lt;" * 200_000 + "<" * 50_000):
+        began = time.perf_counter()
+        host_suffix.split_page(html)
+        assert time.perf_counter() - began < 5
 
 
-def test_suffix_ranks():
-    rng = np.random.default_rng(1)
-    tokens = rng.integers(0, 3, 200).astype(np.uint64)
-    ranks = host_suffix.suffix_ranks(tokens, 5)
-    keys = [tuple(tokens[i : i + 5].tolist()) for i in range(200)]
-    assert [ranks[i] < ranks[j] for i in range(190) for j in range(190)] == [keys[i] < keys[j] for i in range(190) for j in range(190)]
+def brute_repeats(pages, depth):
+    """(host, stream, place) of each run of depth words that stands on two pages of its host with different texts."""
+    seen = {}
+    for host, stream, text in pages:
+        row = stream.split()
+        for i in range(len(row) - depth + 1):
+            seen.setdefault((host, tuple(row[i : i + depth])), set()).add((stream, i, text))
+    return {(k[0], stream, i) for k, at in seen.items() if len({t for *_, t in at}) > 1 for stream, i, _ in at}
+
+
+@pytest.mark.parametrize("width", [1, 3, 40])
+def test_suffix_array_finds_what_brute_force_finds(spark, monkeypatch, width):
+    monkeypatch.setattr(host_suffix, "shuffle_width", lambda spark: width)
+    rng = np.random.default_rng(width)
+    pages = [(f"h{i % 2}", " ".join("abc"[int(x)] for x in rng.integers(0, 3, 60)), i % 5) for i in range(12)]
+    pages += [("h0", pages[0][1], 9), ("h2", "a b c d e f g", 1), ("h2", "a b c d e f g", 1), ("h3", "short", 1), ("h3", "", 2)]
+    rows = [(h, "1" + t, *[m] * 3) for h, t, m in pages]
+    marked = spark.createDataFrame(rows, "host string, stream string, m0 long, m1 long, m2 long")
+    array = host_suffix.suffix_array(host_suffix._ends(marked, ["host", "stream"], "m", "m"), 4)
+    names = {int(np.uint64(xxhash.xxh64_intdigest(f"{h}\n1{t}")).view(np.int64)): (h, t) for h, t, _ in pages}
+    got = {(*names[r.stream], r.place) for r in host_suffix.covered_places(array).collect()}
+    assert got == brute_repeats(pages, 4) and got
+    order = [(r.part, r.h, bytes(r.key), r.stream, r.place) for r in array.orderBy("part").collect()]
+    assert [x[1:] for x in sorted(order, key=lambda x: x[0])] == sorted(x[1:] for x in order)
 
 
 def test_hosts_decide_where_structure_is_silent(spark):
@@ -90,10 +107,34 @@ def test_hosts_decide_where_structure_is_silent(spark):
     assert got[20] == got[1] and got[9] == f"{menu} alone here" and got[10] == got[11] == ""
     assert host_suffix.main_texts(pages).count() == len(rows)
     assert host_suffix.main_texts(pages.limit(0)).count() == 0
-    streams = [(f"h{i % 2}", " ".join("abcde"[int(x)] for x in np.random.default_rng(i).integers(0, 5, 60))) for i in range(12)]
-    frame = spark.createDataFrame(streams, "host string, words string")
-    keys = {(h, int(host_suffix.run_keys(host_suffix._hashes(list(k), {}), 4).view(np.int64)[0])) for h, k in brute_repeats(streams, 4)}
-    assert {(r.host, r.key) for r in host_suffix.repeated_runs(frame, 4).collect()} == keys
+
+
+def test_array_alone_tells_text_from_furniture(spark):
+    """No tag names anything here: the text of each page is what stands between the host's menu and footer."""
+    words = iter(np.random.default_rng(8).permutation([f"w{i}" for i in range(9000)]).tolist())
+    body = lambda n: " ".join(next(words) for _ in range(n))
+    menu, notice, footer, related, passage = (body(n) for n in (9, 14, 20, 12, 36))
+    rows, want = [], {}
+    for i in range(12):
+        blocks = [f"Title {body(3)}", body(40), passage if i % 4 == 0 else body(30), body(12), body(25)]
+        items = "".join(f"<li>{w}</li>" for w in menu.split())
+        inner = "".join(f"<p>{b}</p>" for b in blocks[:3]) + f"<div>{related}</div>" + "".join(f"<p>{b}</p>" for b in blocks[3:])
+        rows.append((i, "https://u@Host.example:8080/x", page(f"<ul>{items}</ul><div>{notice}</div><div>{inner}</div><div>{footer}</div>")))
+        want[i] = " ".join(blocks)
+    rows += [(20 + i, f"http://other{i}.example/", page(f"<div>{menu}</div><p>{body(30)}</p>")) for i in range(3)]
+    found = host_suffix.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.id: r.text for r in found}
+    assert {i: got[i] for i in want} == want
+    assert all(got[20 + i].startswith(menu) for i in range(3))  # one page a host: nothing repeats
+    counts = host_suffix.repeated_blocks(spark.createDataFrame(rows[:12], "page_id long, url string, html string")).collect()
+    assert sorted((r.id, r.sign, r.repeated) for r in counts) == [(i, "1", 12 + (i % 4 == 0)) for i in range(12)]
+
+
+def test_article_elements_renamed_change_nothing(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    tagged = {r.id: r.text for r in host_suffix.main_texts(pages).collect()}
+    assert {r.id: r.text for r in host_suffix.main_texts(renamed).collect()} == tagged
 
 
 def test_hosts_leave_near_copies_and_shared_passages(spark):
