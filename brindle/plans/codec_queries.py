@@ -18,10 +18,10 @@ MOST_K = 15
 
 def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, c, mean, k, payload of each group of z."""
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.avg("z").alias("mean"), *quotient_sums(F.col("z"), 40))
-    sums = sums.withColumn("k", rice_k(F.col("mean")))
-    quotient = F.element_at(F.array(*(F.col(f"q{k}") for k in range(41))), (F.col("k") + 1).cast("int"))
-    payload = F.when(F.col("k") > 0, bytes_of(rice_bits(quotient, F.col("c"), F.col("k")))).otherwise(verbatim_bytes(F.col("c")))
+    # the rows come by track, so this window needs no shuffle of its own, and one sum is left where k is known
+    rows = rows.withColumn("mean", F.avg("z").over(Window.partitionBy(*keys))).withColumn("k", rice_k(F.col("mean")))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.first("mean").alias("mean"), F.first("k").alias("k"), F.sum(F.expr("shiftright(z, cast(k as int))")).alias("q"))
+    payload = F.when(F.col("k") > 0, bytes_of(rice_bits(F.col("q"), F.col("c"), F.col("k")))).otherwise(verbatim_bytes(F.col("c")))
     return sums.select(*keys, "c", "mean", "k", payload.alias("payload"))
 
 
@@ -168,16 +168,11 @@ def autocorrelation_lags(spark, sf_dir):
     return long.select("track_id", "c.*").where("r is not null")
 
 
-@query(f"""WITH {MONO_SQL}, s AS (SELECT x, x - lag(x) OVER (PARTITION BY track_id ORDER BY n) AS e, track_id FROM wave), t AS (SELECT track_id, 4 * count(*) AS raw, count(*) AS samples FROM s GROUP BY ALL),
-    d AS (SELECT t.*, n_name AS dataset FROM t JOIN customer ON c_custkey = track_id JOIN nation ON c_nationkey = n_nationkey), m AS (SELECT track_id, sum(CASE WHEN e IS NULL THEN 4 WHEN abs(e) < 8192 THEN 2 ELSE 3 END) AS comp FROM s GROUP BY ALL)
-    SELECT dataset, {SUMMARY_SQL} FROM d JOIN m USING (track_id) GROUP BY dataset""")
+@query(f"WITH {TRACKS_SQL}, d AS (SELECT tracks.*, n_name AS dataset FROM tracks JOIN customer ON c_custkey = track_id JOIN nation ON c_nationkey = n_nationkey) SELECT dataset, {SUMMARY_SQL} FROM d GROUP BY dataset")
 def eval_summary_by_dataset(spark, sf_dir):
-    """The evaluation summary for each data set: differences in two or three bytes, by the nation of the track's owner."""
-    e = F.col("x") - F.lag("x").over(Window.partitionBy("track_id").orderBy("n"))
-    rows = wave_mono(spark, sf_dir).withColumn("e", e)
-    tracks = rows.groupBy("track_id").agg((4 * F.count(F.lit(1))).alias("raw"), F.sum(F.when(F.col("e").isNull(), 4).when(F.abs("e") < 8192, 2).otherwise(3)).alias("comp"))
+    """The evaluation summary for each data set: the exact Rice sizes of its tracks, by the nation of the track's owner."""
     owners = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return tracks.join(owners, F.col("track_id") == F.col("c_custkey")).groupBy(F.col("n_name").alias("dataset")).agg(*summary())
+    return track_sizes(spark, sf_dir).join(owners, F.col("track_id") == F.col("c_custkey")).groupBy(F.col("n_name").alias("dataset")).agg(*summary())
 
 
 @query(f"WITH {TRACKS_SQL} SELECT round(sum(raw) / sum(comp), 6) AS ratio_of_sums, round(avg(raw / comp), 6) AS mean_of_ratios, round(avg(comp / raw), 6) AS mean_compressed_fraction FROM tracks")

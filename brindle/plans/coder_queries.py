@@ -89,14 +89,18 @@ def bitstream_container(spark, sf_dir):
     return _coded(_lists(wave_mono(spark, sf_dir).withColumn("part", F.expr("n div 512")), "x", "track_id", "part"), of, "frames long, n long, lossless boolean")
 
 
-@query(f"WITH {BYTES_SQL} SELECT doc_id, chunk, count(*) AS raw, TRUE AS lossless, TRUE AS counted FROM bytes GROUP BY ALL")
+@query()
 def gzip_lzma_eval(spark, sf_dir):
+    """Each text's sizes under two general coders, chunk by chunk, and the rates; how many chunks came back whole."""
+
     def of(v):
         v = bytes(v)
         a, b = gzip.compress(v, 9, mtime=0), lzma.compress(v)
-        return len(v), gzip.decompress(a) == v and lzma.decompress(b) == v, len(a) > 0 and len(b) > 0
+        return len(v), len(a), len(b), gzip.decompress(a) == v and lzma.decompress(b) == v
 
-    return _coded(byte_chunks(spark, sf_dir).select("doc_id", "chunk", F.col("body").alias("v")), of, "raw long, lossless boolean, counted boolean")
+    chunks = _coded(byte_chunks(spark, sf_dir).select("doc_id", "chunk", F.col("body").alias("v")), of, "raw long, gzip long, lzma long, lossless boolean")
+    docs = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("lossless").alias("whole"), *(F.sum(c).alias(c) for c in ("raw", "gzip", "lzma")))
+    return docs.select("*", *(F.round(F.col("raw") / F.col(c), 6).alias(f"{c}_rate") for c in ("gzip", "lzma")))
 
 
 @query(f"WITH {MONO_SQL}, f AS (SELECT track_id, n // 64 AS frame, count(*) AS n FROM wave GROUP BY ALL), c AS (SELECT unnest(['arithmetic', 'partitioned', 'rice', 'verbatim']) AS coder) SELECT track_id, frame, coder, n, TRUE AS lossless FROM f, c")

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 
 from ..functions import quant
 from ..operators.frames import residual_frames, residual_sql
+from ..operators.ranks import ranked_values
 from ..sources.views import FLOAT_SQL, MONO_SQL, table, wave_float, wave_mono
+from .loss_queries import LOGITS_SQL, logits
 from .registry import query
 
 RES = residual_sql(MONO_SQL)
@@ -104,10 +106,9 @@ def classification_metrics(spark, sf_dir):
 
 @query(f"WITH {SCORED}, v AS (SELECT n_chars, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY n_chars), b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v) SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS auc FROM b")
 def auc_rank(spark, sf_dir):
-    """The area under the curve from ranks; rows meet in counts a score first, so one task orders scores, not rows."""
+    """The area under the curve from ranks: rows meet in counts a score, scores are ranked in two levels."""
     counts = _scored(spark, sf_dir).groupBy("n_chars").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = counts.withColumn("below", below)
+    rows = ranked_values(counts.withColumn("all", F.lit(0)), "all", "n_chars", "neg")
     return rows.agg(F.round(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
@@ -125,19 +126,15 @@ def top_k_per_class(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.row_number().over(order).cast("long").alias("place")).where("place <= 5")
 
 
-LOGITS = "lg AS (SELECT vec_id, label, CAST(generate_subscripts(embedding[1:10], 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding[1:10]) AS DOUBLE) * 10 AS v FROM embeddings), sm AS (SELECT *, exp(v - max(v) OVER w) / sum(exp(v)) OVER w * exp(max(v) OVER w) AS p FROM lg WINDOW w AS (PARTITION BY vec_id))"
+SOFTMAX_SQL = f"{LOGITS_SQL}, sm AS (SELECT vec_id, label, c AS j, exp(z - lse) AS p FROM scored)"
 
 
 def _softmax(spark, sf_dir):
-    """vec_id, label, p (array) from the first ten components as logits, within the row."""
-    logits = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 10)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", logits.alias("v"))
-    rows = rows.withColumn("e", F.transform("v", lambda v: F.exp(v - F.array_max("v"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
-    return rows.withColumn("p", F.transform("e", lambda e: e / total))
+    """vec_id, label, p (array) from the ten logits of each vector."""
+    return logits(spark, sf_dir).select("vec_id", "label", F.expr("transform(z, x -> exp(x - lse))").alias("p"))
 
 
-@query(f"WITH {LOGITS}, o AS (SELECT vec_id, j, p, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sm) SELECT vec_id, j, round(p, 6) AS p FROM o WHERE before < 0.9")
+@query(f"WITH {SOFTMAX_SQL}, o AS (SELECT vec_id, j, p, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sm) SELECT vec_id, j, round(p, 6) AS p FROM o WHERE before < 0.9")
 def nucleus_mask(spark, sf_dir):
     """The least set of classes that holds nine tenths of the probability."""
     rows = _softmax(spark, sf_dir).select("vec_id", F.posexplode("p").alias("j", "p"))
@@ -146,13 +143,13 @@ def nucleus_mask(spark, sf_dir):
     return kept.select("vec_id", F.col("j").cast("long").alias("j"), F.round("p", 6).alias("p"))
 
 
-@query(f"WITH {LOGITS} SELECT label, count(*) AS n, round(avg(-ln(p)), 5) AS loss, round(avg(-ln(p)) / ln(2), 5) AS bpb, round(exp(avg(-ln(p))), 5) AS ppl FROM sm WHERE j = label GROUP BY label")
+@query(f"WITH {SOFTMAX_SQL} SELECT label, count(*) AS n, round(avg(-ln(p)), 5) AS loss, round(avg(-ln(p)) / ln(2), 5) AS bpb, round(exp(avg(-ln(p))), 5) AS ppl FROM sm WHERE j = label GROUP BY label")
 def softmax_logloss_bpb(spark, sf_dir):
     loss = F.avg(-F.log(F.get("p", F.col("label"))))
     return _softmax(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(loss, 5).alias("loss"), F.round(loss / math.log(2), 5).alias("bpb"), F.round(F.exp(loss), 5).alias("ppl"))
 
 
-@query(f"WITH {LOGITS} SELECT label, round(sum(ln(p)), 4) AS log_prob, round(-avg(ln(p)), 5) AS mean_nll FROM sm WHERE j = (vec_id % 10) GROUP BY label")
+@query(f"WITH {SOFTMAX_SQL} SELECT label, round(sum(ln(p)), 4) AS log_prob, round(-avg(ln(p)), 5) AS mean_nll FROM sm WHERE j = (vec_id % 10) GROUP BY label")
 def sequence_logprob(spark, sf_dir):
     """Log-probability of the true symbol, summed over each sequence (here a label's rows)."""
     gathered = F.log(F.get("p", (F.col("vec_id") % 10).cast("int")))
@@ -177,11 +174,12 @@ def dither_mse_mae(spark, sf_dir):
     return rows.groupBy("track_id").agg(F.round(square, 9).alias("mse"), F.round(F.avg(F.abs("e")), 7).alias("mae"), F.round(F.sqrt(square), 7).alias("rmse"))
 
 
-@query("WITH c AS (SELECT label, count(*) AS n, sum(CAST(embedding[1] > 0 AS INT)) AS hits FROM embeddings GROUP BY label), p AS (SELECT a.label AS a, b.label AS b, a.hits / a.n AS pa, b.hits / b.n AS pb, (a.hits + b.hits) / (a.n + b.n) AS p, a.n AS na, b.n AS nb FROM c a JOIN c b ON a.label < b.label) SELECT a, b, round((pa - pb) / sqrt(p * (1 - p) * (1.0 / na + 1.0 / nb)), 5) AS z, abs((pa - pb) / sqrt(p * (1 - p) * (1.0 / na + 1.0 / nb))) > 1.96 AS differs FROM p WHERE p > 0 AND p < 1")
+@query("WITH c AS (SELECT label, count(*) AS n, sum(CAST(embedding[1] > 0 AS INT)) AS hits FROM embeddings GROUP BY label), p AS (SELECT a.label AS a, b.label AS b, a.hits / a.n AS pa, b.hits / b.n AS pb, (a.hits + b.hits) / (a.n + b.n) AS p, a.n AS na, b.n AS nb FROM c a JOIN c b ON a.label < b.label) SELECT a, b, round(z, 5) AS z, coalesce(abs(z) > 1.96, FALSE) AS differs FROM (SELECT a, b, CASE WHEN p > 0 AND p < 1 THEN (pa - pb) / sqrt(p * (1 - p) * (1.0 / na + 1.0 / nb)) END AS z FROM p)")
 def two_proportion_z(spark, sf_dir):
     """Each two labels' shares of positive components; the pairs are of labels, which are few."""
     c = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("embedding")[0] > 0).cast("int")).alias("h"))
-    pairs = c.toDF("a", "na", "ha").join(F.broadcast(c.toDF("b", "nb", "hb")), F.col("a") < F.col("b"))
+    pairs = c.toDF("a", "na", "ha").join(c.toDF("b", "nb", "hb"), F.col("a") < F.col("b"))
     p = (F.col("ha") + F.col("hb")) / (F.col("na") + F.col("nb"))
     z = (F.col("ha") / F.col("na") - F.col("hb") / F.col("nb")) / F.sqrt(p * (1 - p) * (1.0 / F.col("na") + 1.0 / F.col("nb")))
-    return pairs.where((p > 0) & (p < 1)).select("a", "b", F.round(z, 5).alias("z"), (F.abs(z) > 1.96).alias("differs"))
+    z = F.when((p > 0) & (p < 1), z)
+    return pairs.select("a", "b", F.round(z, 5).alias("z"), F.coalesce(F.abs(z) > 1.96, F.lit(False)).alias("differs"))

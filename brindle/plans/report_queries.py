@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.latex import latex_escaped, latex_sql
+from ..operators.ranks import quantiles
 from ..sources.views import HISTORY_SQL, RUNS_SQL, history, runs, table
 from .registry import query
 
@@ -66,16 +68,17 @@ def common_path_semi_join(spark, sf_dir):
     """Results of the paths that every configuration has."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("path"), F.col("o_orderstatus").alias("configuration"))
     pairs = orders.select("path", "configuration").distinct()
-    wanted = pairs.select("configuration").distinct().agg(F.count(F.lit(1)).alias("n"))
-    common = pairs.groupBy("path").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(wanted), F.col("c") == F.col("n")).select("path")
+    wanted = pairs.agg(F.count_distinct("configuration").alias("n"))
+    common = pairs.groupBy("path").agg(F.count(F.lit(1)).alias("c")).join(wanted, F.col("c") == F.col("n")).select("path")
     return orders.join(common, "path", "left_semi").select("run_id", "path", "configuration")
 
 
 @query("SELECT c_custkey, c_name, s.s AS status FROM customer, (SELECT DISTINCT o_orderstatus AS s FROM orders) s WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = s.s)")
 def resume_anti_join(spark, sf_dir):
-    """What is left to do: each customer and configuration without a result yet. Statuses are a handful."""
+    """What is left to do: each customer and configuration without a result yet. Statuses are a handful: one row's array."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("status"))
-    grid = table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(F.broadcast(orders.select("status").distinct()), F.lit(True))
+    statuses = orders.agg(F.collect_set("status").alias("all"))
+    grid = table(spark, sf_dir, "customer").select("c_custkey", "c_name").crossJoin(statuses).select("c_custkey", "c_name", F.explode("all").alias("status"))
     return grid.join(orders, ["c_custkey", "status"], "left_anti").select("c_custkey", "c_name", "status")
 
 
@@ -92,7 +95,8 @@ def rate_lookup_left_join(spark, sf_dir):
     """A report row for every data set and priority, its rates looked up, -1 where there are none."""
     means = runs(spark, sf_dir).groupBy("dataset", "priority", "status").agg(F.expr(MEAN).alias("mean"))
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset"))
-    grid = names.join(F.broadcast(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority")).distinct()), F.lit(True))
+    priorities = table(spark, sf_dir, "orders").agg(F.collect_set("o_orderpriority").alias("all"))
+    grid = names.crossJoin(priorities).select("dataset", F.explode("all").alias("priority"))
     for status, name in (("F", "finished"), ("O", "open")):
         grid = grid.join(means.where(F.col("status") == status).select("dataset", "priority", F.col("mean").alias(name)), ["dataset", "priority"], "left")
     return grid.fillna(-1, ["finished", "open"])
@@ -145,9 +149,10 @@ def percent_per_subset(spark, sf_dir):
 
 @query(f"WITH {RUNS_SQL} SELECT dataset, round(quantile_cont(rate, 0.25), 4) AS q1, round(quantile_cont(rate, 0.5), 4) AS q2, round(quantile_cont(rate, 0.75), 4) AS q3, round(min(rate), 4) AS least, round(max(rate), 4) AS most FROM runs GROUP BY dataset")
 def box_stats(spark, sf_dir):
-    q = F.percentile("rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = runs(spark, sf_dir).groupBy("dataset").agg(q.alias("q"), F.min("rate").alias("a"), F.max("rate").alias("b"))
-    return rows.select("dataset", *(F.round(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)), F.round("a", 4).alias("least"), F.round("b", 4).alias("most"))
+    rows = runs(spark, sf_dir)
+    ends = rows.groupBy("dataset").agg(F.round(F.min("rate"), 4).alias("least"), F.round(F.max("rate"), 4).alias("most"))
+    found = quantiles(rows, "dataset", "rate", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return found.join(ends, "dataset").select("dataset", *(F.round(q, 4).alias(q) for q in ("q1", "q2", "q3")), "least", "most")
 
 
 @query("SELECT o_orderkey AS run_id, 'priority:' || o_orderpriority[3:] || '-status:' || o_orderstatus || '-key:' || o_custkey AS params, sha256('priority:' || o_orderpriority[3:] || '-status:' || o_orderstatus || '-key:' || o_custkey) AS params_hash FROM orders")
@@ -156,12 +161,17 @@ def param_string_hash(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), params.alias("params"), F.sha2(params, 256).alias("params_hash"))
 
 
-@query("SELECT o_orderkey AS run_id, o_orderstatus AS status, CAST(o_custkey AS BIGINT) AS key, replace(replace(replace(o_orderpriority, '-', ' '), '1 ', ''), '_', '') IS NOT NULL AS ok FROM orders")
+_PARAMS_SQL = "'status:' || o_orderstatus || '-key:' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '-scale:' || (o_orderkey % 8) / 8.0::DOUBLE ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN '-flag' ELSE '' END"
+
+
+@query(f"WITH p AS (SELECT o_orderkey AS run_id, {_PARAMS_SQL} AS params FROM orders) SELECT run_id, regexp_extract(params, 'status:([^-]*)', 1) AS status, CAST(regexp_extract(params, 'key:([^-]*)', 1) AS BIGINT) AS key, TRY_CAST(nullif(regexp_extract(params, 'scale:([^-]*)', 1), '') AS DOUBLE) AS scale, len(string_split(params, '-')) AS fields, params LIKE '%-flag' AS flag FROM p")
 def param_parse(spark, sf_dir):
-    """Reads key:value-key:value strings back into columns."""
-    params = F.concat_ws("-", F.concat(F.lit("status:"), "o_orderstatus"), F.concat(F.lit("key:"), F.col("o_custkey").cast("string")))
-    parsed = F.str_to_map(params, F.lit("-"), F.lit(":"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), parsed["status"].alias("status"), F.try_to_number(parsed["key"], F.lit("999999999999")).cast("long").alias("key"), parsed["status"].isNotNull().alias("ok"))
+    """Reads key:value-key:value strings back into columns; some lack a field, some have one without a value."""
+    scale = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("scale:"), ((F.col("o_orderkey") % 8) / 8).cast("string")))
+    params = F.concat_ws("-", F.concat(F.lit("status:"), "o_orderstatus"), F.concat(F.lit("key:"), F.col("o_custkey").cast("string")), scale, F.when(F.col("o_orderkey") % 5 == 0, "flag"))
+    parsed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.str_to_map(params, F.lit("-"), F.lit(":")).alias("m"))
+    field = lambda name: F.element_at("m", name)
+    return parsed.select("run_id", field("status").alias("status"), field("key").cast("long").alias("key"), field("scale").cast("double").alias("scale"), F.cardinality("m").cast("long").alias("fields"), F.map_contains_key("m", "flag").alias("flag"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.k.value'), json_extract_string(props, '$.k')) AS unwrapped FROM events")
@@ -170,13 +180,20 @@ def json_config_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as long)").alias("k"), F.coalesce(F.get_json_object("props", "$.k.value"), k).alias("unwrapped"))
 
 
-@query(f"WITH {RUNS_SQL}, t AS (SELECT dataset, status, CAST(floor(avg(rate)) AS BIGINT) AS mean FROM runs GROUP BY ALL), m AS (SELECT *, max(mean) OVER (PARTITION BY dataset) AS top FROM t) SELECT replace(dataset, '_', '\\_') || ' & ' || string_agg(CASE WHEN mean = top THEN '\\textbf{{' || mean || '}}' ELSE CAST(mean AS VARCHAR) END, ' & ' ORDER BY status) || ' \\\\' AS line FROM m GROUP BY dataset")
+@query(f"WITH {RUNS_SQL}, t AS (SELECT domain, dataset, status, CASE WHEN count(*) > 20 THEN CAST(floor(avg(rate)) AS BIGINT) END AS mean FROM runs GROUP BY ALL), m AS (SELECT *, max(mean) OVER (PARTITION BY dataset) AS top FROM t), l AS (SELECT domain, dataset, {latex_sql("replace(dataset, ' ', '_')")} || ' & ' || string_agg(CASE WHEN mean IS NULL THEN '---' WHEN mean = top THEN '\\textbf{{' || mean || '}}' ELSE CAST(mean AS VARCHAR) END, ' & ' ORDER BY status) || ' \\\\' AS cells FROM m GROUP BY domain, dataset), r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY domain) AS n FROM l WINDOW w AS (PARTITION BY domain ORDER BY dataset)) SELECT domain, i, CASE WHEN domain = 'AFRICA' THEN '% ' ELSE '' END || CASE WHEN i = 1 THEN '\\multirow{{' || n || '}}{{*}}{{' || {latex_sql('domain')} || '}} & ' ELSE ' & ' END || cells AS line FROM r")
 def latex_rows(spark, sf_dir):
-    means = runs(spark, sf_dir).groupBy("dataset", "status").agg(F.floor(F.avg("rate")).cast("long").alias("mean"))
-    cell = means.withColumn("cell", F.when(F.col("mean") == F.max("mean").over(Window.partitionBy("dataset")), F.concat(F.lit("\\textbf{"), F.col("mean").cast("string"), F.lit("}"))).otherwise(F.col("mean").cast("string")))
-    cells = F.expr("array_join(transform(array_sort(collect_list(struct(status, cell))), c -> c.cell), ' & ')")
-    lines = cell.groupBy("dataset").agg(cells.alias("cells"))
-    return lines.select(F.concat(F.replace("dataset", F.lit("_"), F.lit("\\_")), F.lit(" & "), "cells", F.lit(" \\\\")).alias("line"))
+    """Table rows: the domain over several rows, names escaped, the best in bold, dashes for too few runs, a domain commented out."""
+    mean = F.when(F.count(F.lit(1)) > 20, F.floor(F.avg("rate")).cast("long"))
+    means = runs(spark, sf_dir).groupBy("domain", "dataset", "status").agg(mean.alias("mean"))
+    top = F.max("mean").over(Window.partitionBy("dataset"))
+    shown = F.col("mean").cast("string")
+    cell = means.withColumn("cell", F.when(F.col("mean").isNull(), "---").when(F.col("mean") == top, F.concat(F.lit("\\textbf{"), shown, F.lit("}"))).otherwise(shown))
+    lines = cell.groupBy("domain", "dataset").agg(F.expr("array_join(transform(array_sort(collect_list(struct(status, cell))), c -> c.cell), ' & ')").alias("cells"))
+    of = Window.partitionBy("domain")
+    rows = lines.withColumn("i", F.row_number().over(of.orderBy("dataset"))).withColumn("n", F.count(F.lit(1)).over(of).cast("string"))
+    head = F.when(F.col("i") == 1, F.concat(F.lit("\\multirow{"), "n", F.lit("}{*}{"), latex_escaped(F.col("domain")), F.lit("} & "))).otherwise(" & ")
+    line = F.concat(F.when(F.col("domain") == "AFRICA", "% ").otherwise(""), head, latex_escaped(F.replace("dataset", F.lit(" "), F.lit("_"))), F.lit(" & "), "cells", F.lit(" \\\\"))
+    return rows.select("domain", F.col("i").cast("long").alias("i"), line.alias("line"))
 
 
 @query("SELECT c_custkey, coalesce(TRY_CAST(nullif(CASE WHEN c_custkey % 5 = 0 THEN 'NA' ELSE CAST(c_nationkey AS VARCHAR) END, 'NA') AS BIGINT), -1) AS value, lower(CASE WHEN c_custkey % 2 = 0 THEN 'True' ELSE '0' END) IN ('true', '1') AS flag FROM customer")
@@ -187,6 +204,12 @@ def coerce_columns(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.nullif(text, F.lit("NA")).try_cast("long"), F.lit(-1)).alias("value"), F.lower(flag).isin("true", "1").alias("flag"))
 
 
-@query("SELECT c_custkey, split_part(c_name, '#', 1) AS song, TRY_CAST(split_part(c_name, '#', 2) AS BIGINT) AS stem, c_name LIKE '%1' AS ends FROM customer")
+@query("WITH p AS (SELECT p_partkey, 'stems/' || CASE WHEN p_size % 2 = 0 THEN 'train' ELSE 'test' END || '/' || replace(p_name, ' ', '_') || '.' || p_size || '.' || p_brand || '.wav' AS path FROM part), n AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '/')[-2] AS split FROM p) SELECT p_partkey, split_part(name, '.', 1) AS song, string_split(name, '.')[-2] AS stem, split, split = 'train' AS is_train, string_split(name, '.')[-1] AS extension FROM n")
 def path_parsing(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(1)).alias("song"), F.split_part("c_name", F.lit("#"), F.lit(2)).try_cast("long").alias("stem"), F.endswith("c_name", F.lit("1")).alias("ends"))
+    """From a path: the song (before the first dot of its name), the stem (the last but one part), the folder's split."""
+    split = F.when(F.col("p_size") % 2 == 0, "train").otherwise("test")
+    name = F.concat_ws(".", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"), "p_brand", F.lit("wav"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.split(F.concat_ws("/", F.lit("stems"), split, name), "/").alias("path"))
+    rows = rows.select("p_partkey", F.element_at("path", -1).alias("name"), F.element_at("path", -2).alias("split"))
+    parts = F.split("name", r"\.")
+    return rows.select("p_partkey", F.substring_index("name", ".", 1).alias("song"), F.element_at(parts, -2).alias("stem"), "split", (F.col("split") == "train").alias("is_train"), F.element_at(parts, -1).alias("extension"))

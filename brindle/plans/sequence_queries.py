@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import fresh_path
 from ..sources.views import MONO_SQL, table, wave_mono
-from ..streaming.windows import event_counts
+from ..streaming.windows import carried, latest_state, run_to_end, sessions, stream_of, windowed
 from .registry import query
 
 TOKENS = r"tok AS (SELECT doc_id, unnest(string_split_regex(trim(lower(text), ' '), ' +')) AS token FROM documents WHERE text IS NOT NULL)"
@@ -99,15 +100,53 @@ def stratified_split(spark, sf_dir):
     return ranked.select("doc_id", "quality", F.when((F.col("before") + F.col("r")) / F.col("n") < 0.8, "train").otherwise("test").alias("split"))
 
 
-@query(f"WITH {MONO_SQL}, f AS (SELECT *, n // 16 AS frame, n % 16 AS i FROM wave), s AS (SELECT *, avg(abs(x)) FILTER (i < 12) OVER (PARTITION BY track_id, frame) AS scale FROM f) SELECT track_id, n, round(x / scale, 6) AS normalized, round(x / scale * scale, 3) AS back FROM s WHERE scale > 0")
+@query(f"WITH {MONO_SQL}, f AS (SELECT *, n // 16 AS frame, n % 16 AS i FROM wave), s AS (SELECT *, avg(abs(x)) FILTER (i < 12) OVER (PARTITION BY track_id, frame) AS scale FROM f) SELECT track_id, n, round(x / scale, 6) AS normalized, round(x / scale * scale, 3) AS back FROM (SELECT * REPLACE (nullif(scale, 0) AS scale) FROM s)")
 def horizon_normalize(spark, sf_dir):
-    """Scales each frame by the mean magnitude of its context (its first twelve samples)."""
+    """Scales each frame by the mean magnitude of its context (its first twelve samples); null where that is zero."""
     frame = Window.partitionBy("track_id", F.expr("n div 16"))
-    rows = wave_mono(spark, sf_dir).withColumn("scale", F.avg(F.when(F.col("n") % 16 < 12, F.abs("x"))).over(frame)).where("scale > 0")
+    rows = wave_mono(spark, sf_dir).withColumn("scale", F.avg(F.when(F.col("n") % 16 < 12, F.abs("x"))).over(frame)).withColumn("scale", F.nullif("scale", F.lit(0.0)))
     return rows.select("track_id", "n", F.round(F.col("x") / F.col("scale"), 6).alias("normalized"), F.round(F.col("x") / F.col("scale") * F.col("scale"), 3).alias("back"))
 
 
-@query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
+#: A window is closed once the watermark (the latest event less an hour) has reached its end.
+_CLOSED_SQL = "mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)"
+_CENTS_SQL = "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents"
+
+
+@query(f"WITH {_CLOSED_SQL}, w AS (SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, {_CENTS_SQL} FROM events GROUP BY ALL) SELECT w.* FROM w, mark WHERE start + INTERVAL 1 HOUR <= mark")
 def stream_tumbling_availablenow(spark, sf_dir):
-    """Hourly windows over the events as a stream that stops when it has read them all."""
-    return event_counts(spark, sf_dir)
+    """Hourly windows over the events as a stream that stops when it has read them all; open windows aren't written."""
+    return spark.read.parquet(run_to_end(windowed(stream_of(spark, f"{sf_dir}/events.parquet"), "1 hour"), "tumbling"))
+
+
+@query(f"WITH {_CLOSED_SQL}, e AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS b, * FROM events), w AS (SELECT CAST(b - INTERVAL 10 MINUTE * k AS TIMESTAMP) AS start, event_type, count(*) AS n, {_CENTS_SQL} FROM e, range(0, 3) t(k) GROUP BY ALL) SELECT w.* FROM w, mark WHERE start + INTERVAL 30 MINUTE <= mark")
+def stream_sliding_clips(spark, sf_dir):
+    """Clips of thirty minutes, one every ten."""
+    return spark.read.parquet(run_to_end(windowed(stream_of(spark, f"{sf_dir}/events.parquet"), "30 minutes", "10 minutes"), "sliding"))
+
+
+@query(f"WITH {_CLOSED_SQL}, g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 2 HOUR, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g), w AS (SELECT user_id, k, min(ts) AS start, max(ts) AS last, count(*) AS n, {_CENTS_SQL} FROM s GROUP BY ALL) SELECT user_id, CAST(start AS TIMESTAMP) AS start, n, cents FROM w, mark WHERE last + INTERVAL 2 HOUR <= mark")
+def stream_sessions(spark, sf_dir):
+    """Each user's sessions, two hours without an event between them."""
+    return spark.read.parquet(run_to_end(sessions(stream_of(spark, f"{sf_dir}/events.parquet"), "2 hours"), "sessions"))
+
+
+@query("SELECT user_id, count(*) AS seen, count(*) // 50 AS resets, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id")
+def stream_carried_state(spark, sf_dir):
+    """State carried over micro-batches for each user, with a reset every fifty events."""
+    root = fresh_path(spark, "batches")
+    events = table(spark, sf_dir, "events")
+    events.repartition(3, "event_id").write.parquet(root)
+    return latest_state(carried(stream_of(spark, root, files=1), 50), "user_id", "seen")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_ids, 2 AS runs FROM events GROUP BY event_type")
+def stream_resumed_log(spark, sf_dir):
+    """A log that a stream appends to, stopped and started again on its checkpoint when more files are there: no row is
+    lost or written twice."""
+    root, log = fresh_path(spark, "arriving"), fresh_path(spark, "log")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    for run in range(2):
+        events.where(F.col("event_id") % 2 == run).write.mode("append").parquet(root)
+        rows = run_to_end(stream_of(spark, root), "log", log)
+    return spark.read.parquet(rows).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("distinct_ids"), F.lit(2).alias("runs"))

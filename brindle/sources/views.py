@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
+
 STEREO_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_shipdate")
 CHUNK_BYTES = 2048
 
@@ -40,11 +44,41 @@ def byte_chunks(spark: SparkSession, sf_dir: str, size: int = CHUNK_BYTES) -> Da
     return cut.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.expr(f"substring(bytes, chunk * {size} + 1, {size})").alias("body"))
 
 
-def byte_values(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk, pos, b: a row a byte."""
-    values = F.expr("transform(sequence(1, octet_length(body)), i -> cast(conv(hex(substring(body, i, 1)), 16, 10) as long))")
-    rows = chunks.select("doc_id", "chunk", F.posexplode(values).alias("pos", "b"))
-    return rows.withColumn("pos", F.col("pos").cast("long"))
+def byte_counts(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk, b, c: how often each byte value occurs in each chunk; counted in Arrow batches, at most 256 rows a chunk."""
+    ship(chunks.sparkSession)
+
+    def of(batches):
+        for batch in batches:
+            doc, chunk, b, c = [], [], [], []
+            for i, k, body in zip(*(column.to_pylist() for column in batch.columns)):
+                counts = np.bincount(np.frombuffer(body, np.uint8), minlength=256)
+                found = np.flatnonzero(counts)
+                doc.append(np.full(len(found), i))
+                chunk.append(np.full(len(found), k))
+                b.append(found)
+                c.append(counts[found])
+            if doc:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (doc, chunk, b, c)], names=["doc_id", "chunk", "b", "c"])
+
+    return chunks.select("doc_id", "chunk", "body").mapInArrow(of, "doc_id long, chunk long, b long, c long")
+
+
+def byte_pairs(chunks: DataFrame) -> DataFrame:
+    """a, b, c: how often byte b follows byte a within chunks; a row a pair and Arrow batch at most."""
+    ship(chunks.sparkSession)
+
+    def of(batches):
+        for batch in batches:
+            counts = np.zeros(1 << 16, np.int64)
+            for body in batch.column(0).to_pylist():
+                x = np.frombuffer(body, np.uint8).astype(np.int64)
+                np.add.at(counts, x[:-1] << 8 | x[1:], 1)
+            found = np.flatnonzero(counts)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found >> 8, found & 255, counts[found])], names=["a", "b", "c"])
+
+    return chunks.select("body").mapInArrow(of, "a long, b long, c long")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

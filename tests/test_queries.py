@@ -18,7 +18,7 @@ def rows(columns, values):
     return sorted(tuple(plain(r[i]) for i in order) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(name, spark, duck):
     got = QUERIES[name](spark, SF)
     want = duck(SF).execute(ORACLES[name])
