@@ -64,8 +64,8 @@ def directory_of(keys: DataFrame, capacity: int, depth: int, owners: int, total:
     return found.withColumn("before", F.coalesce(before, F.lit(0))).select("leaf", "local_depth", "bucket", F.expr(f"cast(before * {owners} div {max(1, total)} as int)").alias("owner"))
 
 
-def body_of(text_col: str) -> Column:
-    return ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+def body_of(text: Column) -> Column:
+    return ascii_lower(F.coalesce(text, F.lit("")))
 
 
 def chained(owned: DataFrame, rows: Column, largest: Column) -> DataFrame:
@@ -80,7 +80,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row (a struct of the columns named, or all)."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.struct(*(columns or docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", key_of(body_of("text"), key_bits))
+    columns = columns or docs.columns
+    text = F.col(f"row.`{text_col}`") if text_col in columns else F.col("text")  # a text travels once
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), *([] if text_col in columns else [F.col(text_col).alias("text")])).withColumn("key", key_of(body_of(text), key_bits))
     keys = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
     n_keys, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     capacity = max(capacity, n_keys >> (max_depth - 2))
@@ -94,11 +96,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return some.withColumn("leaf", F.shiftrightunsigned("key", 64 - depth)).join(known, "leaf").drop("leaf")
 
     page = ["bucket", "local_depth", "key", "chain_pos", "keep_id", "group_size", "text_sha256", "row"]
-    own = looked_up(rows.join(hot, "key", "left_anti")).repartition(tasks, "owner").withColumn("body", body_of("text"))
+    own = looked_up(rows.join(hot, "key", "left_anti")).repartition(tasks, "owner").withColumn("body", body_of(text))
     found = chained(own, F.lit(1).cast("long"), F.col("id")).select(*page)
 
     shared = staged(looked_up(rows.join(hot, "key")), "hot")
-    bodies = shared.withColumn("body", body_of("text"))
+    bodies = shared.withColumn("body", body_of(text))
     combined = bodies.groupBy(*CHAIN, "body").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("rows"))
     chains = chained(combined, F.col("rows"), F.col("largest")).withColumn("length", F.max("chain_pos").over(Window.partitionBy(*CHAIN)))
     chains = staged(chains.select("key", "body", "length", "chain_pos", "keep_id", "group_size", "text_sha256"), "chains")
