@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import load, staged
-from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.exact_dedup import build_index
 from brindle.llm.labelled import fold
 from brindle.llm.sentencepiece_fst import sentencepiece
 from brindle.llm.simhash_golay import simhash_groups
@@ -25,15 +25,14 @@ TOXIC = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score as toxic; learns from the labels outside the held-out fold."""
-    scored = toxicity(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, load(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    kept = scored.where(F.col("score") < TOXIC).drop("score")
-    return kept.withColumnRenamed("__score", "score") if "__score" in kept.columns else kept
+    aside = "score" + "_" * max(map(len, docs.columns))  # a name that no column has
+    scored = toxicity(docs.withColumnRenamed("score", aside), load(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return scored.where(F.col("score") < TOXIC).drop("score").withColumnRenamed(aside, "score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the one with the largest doc_id."""
-    found = exact_dedup(docs.select("doc_id", F.struct(*docs.columns).alias("row"), "text"))
-    return found.where("kept").select("row.*")
+    return build_index(docs).where(F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +42,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("digest"))
     groups = staged(simhash_groups(docs.select(key.alias("key"), "text"), "key"), "groups")
-    dropped = groups.where("id <> component_id").select(F.col("id").alias("__key")).distinct()
+    dropped = groups.where("id <> component_id").select(F.col("id").alias("key")).distinct()
     repeated = groups.where("id = component_id").groupBy("id").count().where("count > 1").limit(1).count()
-    kept = docs.withColumn("__key", key).join(dropped, "__key", "left_anti")
-    return (kept.dropDuplicates(["__key"]) if repeated else kept).drop("__key")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(dropped, "key", "left_anti")
+    return (kept.dropDuplicates(["key"]) if repeated else kept).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
