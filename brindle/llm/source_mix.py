@@ -180,7 +180,9 @@ def slots_of(plan: DataFrame, seed: int = 1, slots: int = SLOTS) -> DataFrame:
             block[some] = permuted(j[some] % blocks[s], int(blocks[s]), ((seed * 1_000_003 + int(place[s])) * 1_000_003 + t) & _M)
         return pa.table({"shard": shard, "slot": slot, "place": place[source], "block": block, "turn": turn})
 
-    return spread.select("run", "place", "blocks", "n", "before").groupBy("run").applyInArrow(dealt, "shard long, slot long, place long, block long, turn long")
+    # few bytes make many slots, so adaptive execution is kept from merging the runs' tasks
+    dealt_out = spread.select("run", "place", "blocks", "n", "before").repartition(min(runs, shuffle_width(plan.sparkSession)), "run")
+    return dealt_out.groupBy("run").applyInArrow(dealt, "shard long, slot long, place long, block long, turn long")
 
 
 def segments_of(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
