@@ -52,8 +52,8 @@ def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: in
     Keys with more than HOT_SHARE of all total rows are fewer than 4,096, so their groups (which must be narrow) are
     broadcast and their rows stay where they are; the other rows are shuffled by key, none of which is hot.
     """
-    hot = groups.where(F.col(count) > int(total * HOT_SHARE))
-    cold = groups.where(F.col(count) <= int(total * HOT_SHARE))
+    most = 1 << int(total * HOT_SHARE).bit_length()  # of few values, so that generated code is shared
+    hot, cold = groups.where(F.col(count) > most), groups.where(F.col(count) <= most)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rest.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
 

@@ -131,7 +131,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a < b for each two distinct fingerprints in fps that differ in max_bits (3 at most) or fewer bits."""
     if max_bits > MAX_BITS:
         raise ValueError("these tables find pairs within three bits")
-    one, many = _keyed(fps, False).withColumnRenamed("fp", "a"), _keyed(fps, True).withColumnRenamed("fp", "b")
+    # without the hint the keys, dozens a fingerprint, would be taken for as small as the fingerprints, and be broadcast
+    one, many = _keyed(fps, False).withColumnRenamed("fp", "a"), _keyed(fps, True).withColumnRenamed("fp", "b").hint("merge")
     return one.join(many, (one.key == many.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
 
 
