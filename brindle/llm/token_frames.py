@@ -154,7 +154,8 @@ def write_frames(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(files or shuffle_width(docs.sparkSession), "id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = ("id", F.xxhash64("text"))  # rows under one id, or none, may fill several files
+    ranged = rows.repartitionByRange(files or shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def of(batches):
         from pyspark import TaskContext

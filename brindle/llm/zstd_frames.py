@@ -3,6 +3,10 @@
 The table is itself a skippable frame in the public seekable layout, so any Zstandard tool can decompress a whole
 file: for each frame its compressed size, its size and a 32-bit checksum of its content, then the number of frames,
 a descriptor byte and the magic number.
+
+Defined results: units of no bytes are units all the same, with a place of their own; a unit longer than a frame has a
+frame to itself; equal units are written each; a file without units holds an empty seek table; a frame whose content
+doesn't match its checksum is an error.
 """
 
 from __future__ import annotations

@@ -158,7 +158,6 @@ def test_token_frames(spark, odd, empty, docs):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     for table in (odd, docs):
         index = token_frames.write_frames(table, public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "files"), files=3, frame_bytes=2000)
         got = token_frames.read_frames(token_frames.manifest_of(index)).orderBy("start").collect()
@@ -169,6 +168,11 @@ def test_token_frames(spark, odd, empty, docs):
         some = index.where("id in (3, 7, 9)")
         assert {(r.id, len(r.ids)) for r in token_frames.read_documents(some).collect()} == {(i, len(b) // 4) for i, b in want if i in (3, 7, 9)}
     files = token_frames.write_frames(empty, public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "files"))
+    same = spark.range(400).selectExpr("cast(if(id % 2 = 0, null, 5) AS long) AS doc_id", "concat('text <|endoftext|> ', id) AS text")
+    spread = token_frames.write_frames(same, public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "files"), files=4)
+    assert spread.select("file").distinct().count() == 4
+    rows = token_frames.read_frames(token_frames.manifest_of(spread)).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 200 + [5] * 200 and [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows]).tolist()[:-1]]
     assert token_frames.encoded(odd, public_tokenizers.path("byte_bpe_50k.json")).count() == odd.count()
     assert token_frames.read_frames(token_frames.manifest_of(files)).count() == 0
 
