@@ -57,7 +57,8 @@ def directory_of(keys: DataFrame, capacity: int, depth: int, owners: int, total:
     ancestors = leaves.select("leaf", "keys", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
     ancestors = ancestors.withColumn("prefix", F.expr(f"shiftrightunsigned(leaf, {depth} - level)"))
     overfull = ancestors.groupBy("level", "prefix").agg(F.sum("keys").alias("m")).where(F.col("m") > capacity).select("level", "prefix")
-    depths = ancestors.join(overfull, ["level", "prefix"], "left_semi").groupBy("leaf").agg(F.count(F.lit(1)).cast("int").alias("local_depth"))
+    # an overfull ancestor has more than capacity keys, so a level has fewer of them than 2^MAX_DEPTH
+    depths = ancestors.join(F.broadcast(overfull), ["level", "prefix"], "left_semi").groupBy("leaf").agg(F.count(F.lit(1)).cast("int").alias("local_depth"))
     found = leaves.join(depths, "leaf", "left").select("leaf", "rows", F.coalesce("local_depth", F.lit(0)).alias("local_depth"))
     found = found.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(leaf, {depth} - local_depth), {depth} - local_depth)"))
     before = F.sum("rows").over(Window.orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1))  # one row a leaf: bounded

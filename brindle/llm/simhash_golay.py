@@ -129,6 +129,7 @@ def _keyed(fps: DataFrame, wide: bool) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a < b for each two distinct fingerprints in fps that differ in max_bits (3 at most) or fewer bits."""
+    ship(fps.sparkSession)
     if max_bits > MAX_BITS:
         raise ValueError("these tables find pairs within three bits")
     # without the hint the keys, dozens a fingerprint, would be taken for as small as the fingerprints, and be broadcast

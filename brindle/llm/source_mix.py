@@ -150,6 +150,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def slots_of(plan: DataFrame, seed: int = 1, slots: int = SLOTS) -> DataFrame:
     """shard, slot, place (of the source), block, turn (the pass over the source) of every output slot."""
+    ship(plan.sparkSession)
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     runs = max(1, -(-total // (slots * RUN_SHARDS)))
     # Of a source's k slots, floor((r k + phase) / runs) come before run r; with fewer slots than runs, only k runs have one.

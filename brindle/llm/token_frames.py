@@ -196,6 +196,7 @@ def manifest_of(index: DataFrame) -> DataFrame:
 
 def read_frames(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files of a manifest."""
+    ship(manifest.sparkSession)
 
     def of(batches):
         for batch in batches:
@@ -214,6 +215,7 @@ def read_frames(manifest: DataFrame) -> DataFrame:
 
 def read_documents(index: DataFrame) -> DataFrame:
     """id, ids (array) of the index rows given; decompresses the frames that hold them and no others."""
+    ship(index.sparkSession)
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -100,6 +100,7 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes classified rows as bundles below folder; the index: file, frame, place, id."""
+    ship(rows.sparkSession)
 
     def of(batches):
         writer, name = None, f"{folder}/pages-{uuid.uuid4().hex}.warc.zst"
@@ -118,6 +119,7 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES)
 
 def read_bundles(index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all records in the frames of an index."""
+    ship(index.sparkSession)
 
     def of(batches):
         for batch in batches:
@@ -135,6 +137,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
 def read_records(index: DataFrame) -> DataFrame:
     """id, kind, payload of the index rows given: one frame is decompressed for each, at its offset."""
+    ship(index.sparkSession)
 
     def of(batches):
         for batch in batches:

@@ -224,6 +224,21 @@ def test_embeddings_count_links_over_block_borders(spark, monkeypatch):
     assert got == {i: int(n) for i, n in enumerate((x @ x.T >= 0.95).sum(1) - 1)}
 
 
+def test_block_pairs_are_dealt_by_component_and_blocks(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = staged(spark.createDataFrame([(1, i, [1.0, 0.0], 1) for i in range(40)], "component long, node long, v array<float>, m long"), "members")
+        sizes = staged(spark.createDataFrame([(1, 40)], "component long, size long"), "sizes")
+        counts = embedding_passes.link_counts(members, sizes, 40)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        grouped = plan[plan.index("FlatMapGroupsInArrow") :]
+        assert re.match(r"hashpartitioning\(component#\d+L?, lo#\d+, hi#\d+", grouped[grouped.index("hashpartitioning") :])
+        assert {r.n for r in counts.collect()} == {39}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def hot_cone(n, pairs, cone, cosine=0.955, size=64):
     """n vectors of this mean cosine and, for the first of them, a partner each at just over the threshold."""
     rng = np.random.default_rng(1)
