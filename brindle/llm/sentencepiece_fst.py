@@ -40,8 +40,8 @@ from .common import load, parts_of
 
 SPACE = "▁"
 #: Bytes of segments and their ids (with what Python adds to each), and pairs of pieces, that a worker remembers; beyond that it starts anew.
-MEMO_BYTES, OVERHEAD = 72 << 20, 200
-PAIRS = 300_000
+MEMO_BYTES, OVERHEAD = 96 << 20, 200
+PAIRS = 500_000
 #: Bytes of text that are encoded at a time.
 PART_BYTES = 2 << 20
 INFINITE = float("inf")
