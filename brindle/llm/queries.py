@@ -7,6 +7,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .host_suffix import op1_host_suffix
 from .quality_lsa import op5_quality_knn
 from .sentencepiece_fst import op9_sentencepiece
+from .secret_ledger import OP12_SQL, op12_secret_ledger
 from .simhash_golay import op10_simhash_dedup
 from .source_mix import op4_source_mix
 from .token_frames import op7_token_frames
@@ -15,7 +16,7 @@ from .warc_bundles import OP2_SQL, op2_warc_bundles
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_host_suffix, op2_warc_bundles, op3_toxicity, op4_source_mix, op5_quality_knn, op6_embedding_passes, op7_token_frames, op8_exact_dedup, op9_sentencepiece, op10_simhash_dedup)
+    for f in (op1_host_suffix, op2_warc_bundles, op3_toxicity, op4_source_mix, op5_quality_knn, op6_embedding_passes, op7_token_frames, op8_exact_dedup, op9_sentencepiece, op10_simhash_dedup, op12_secret_ledger)
 }
 
-ORACLES = {"op2_warc_bundles": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op2_warc_bundles": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op12_secret_ledger": OP12_SQL}
