@@ -11,17 +11,21 @@ sorts it; null keys are a key, which isn't split; rows of a hot key that tie in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 #: Rows of a key that one task sorts; longer keys are cut.
 BLOCK = 1 << 20
+#: Rows of a block that has a halo.
+SPAN = 1 << 16
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str = "n", block: int = BLOCK) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str], name: str = "n", block: int | None = None) -> DataFrame:
     """rows with name: the place (from 0) of each row within its key, in the order of the columns named."""
-    lead = F.col(order[0]).cast("double")
+    block, lead = block or BLOCK, F.col(order[0]).cast("double")
     # lo and hi beside a key; bins of half a block on average
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi")).where(F.col("_rows") > block)
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
@@ -37,19 +41,33 @@ def numbered(rows: DataFrame, key: str, order: list[str], name: str = "n", block
     return found.withColumn(name, F.coalesce("_base", F.lit(0)) + F.col("_within")).select(*rows.columns, name)
 
 
-def with_halo(rows: DataFrame, size: int, reach: int, n: str = "n") -> DataFrame:
-    """rows with block (n div size) and own: the last reach rows of a block stand in the next one too, where own is false."""
-    if reach > size:
+def with_halo(rows: DataFrame, before: int, after: int = 0, n: str = "n", size: int = SPAN) -> DataFrame:
+    """rows with block (n div size) and own: the last `before` rows of a block stand in the next one too, the first `after`
+    rows in the one before, where own is false."""
+    if max(before, after) > size:
         raise ValueError("a halo must not be longer than a block")
-    here = F.expr(f"{n} div {size}")
-    blocks = F.when(F.col(n) % size >= size - reach, F.array(here, here + 1)).otherwise(F.array(here))
-    return rows.withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == here)
-
-
-def lagged(rows: DataFrame, key: str, lags: dict[str, Column], size: int, reach: int, n: str = "n") -> DataFrame:
-    """rows with the columns of lags, expressions without a window (F.lag and such) of the rows before, at most reach back."""
-    window = Window.partitionBy(key, "block").orderBy(n)
-    spread = with_halo(rows, size, reach, n)
-    for name, column in lags.items():
-        spread = spread.withColumn(name, column.over(window))
-    return spread.where("own").drop("own", "block")
+    here, at = F.expr(f"{n} div {size}"), F.col(n) % size
+    nothing = F.array().cast("array<bigint>")
+    beside = F.concat(F.when((at < after) & (here > 0), F.array(here - 1)).otherwise(nothing), F.array(here), F.when(at >= size - before, F.array(here + 1)).otherwise(nothing))
+    return rows.withColumn("block", F.explode(beside)).withColumn("own", F.col("block") == here)
+
+
+def with_neighbours(rows: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int, after: int = 0, key: str = "track_id", n: str = "n", size: int | None = None) -> DataFrame:
+    """rows with columns over windows of their key in order of n, which reach so many rows back and ahead at most."""
+    spread = with_halo(rows, before, after, n, size or SPAN)
+    found = columns(Window.partitionBy(key, "block").orderBy(n))
+    return spread.withColumns(found).where("own").select(*rows.columns, *(c for c in found if c not in rows.columns))
+
+
+def running_sum(rows: DataFrame, value: str, name: str, key: str = "track_id", n: str = "n", size: int | None = None) -> DataFrame:
+    """rows with name: the sum of value over this row and those of its key before it, by blocks of n."""
+    blocks = rows.withColumn("_block", F.expr(f"{n} div {size or SPAN}"))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.groupBy(key, "_block").agg(F.sum(value).alias("_sum")).select(key, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = F.sum(value).over(Window.partitionBy(key, "_block").orderBy(n).rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.withColumn("_within", within).join(bases, [key, "_block"]).select(*rows.columns, (F.col("_base") + F.col("_within")).alias(name))
+
+
+def with_length(rows: DataFrame, name: str = "len", key: str = "track_id") -> DataFrame:
+    """rows with name: how many rows their key has. Joined, so that adaptive execution can split the rows of one key."""
+    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key)

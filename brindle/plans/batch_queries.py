@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.numbering import with_length, with_neighbours
 from ..sources.views import MONO_SQL, table, wave_mono
 from .registry import query
 
@@ -20,7 +21,7 @@ def turns(spark, sf_dir):
 @query(f"WITH {MONO_SQL}, c AS (SELECT track_id, n // 32 AS chunk, n % 32 + 3 AS slot, x FROM wave UNION ALL SELECT track_id, n // 32 + 1, n % 32 - 29, x FROM wave WHERE n % 32 >= 29), s AS (SELECT track_id, max(n) // 32 AS last FROM wave GROUP BY ALL) SELECT c.track_id, chunk, chunk = 0 AS reset, count(*) AS carried, CAST(sum(x * (slot + 1)) AS BIGINT) AS checksum FROM c JOIN s ON s.track_id = c.track_id AND chunk <= last GROUP BY c.track_id, chunk")
 def tbptt_chunks(spark, sf_dir):
     """Chunks of 32 samples with the three before them carried over; the first has zeros there and a reset flag."""
-    rows = wave_mono(spark, sf_dir).withColumn("last", F.expr("max(n) over (partition by track_id) div 32"))
+    rows = with_length(wave_mono(spark, sf_dir)).withColumn("last", F.expr("(len - 1) div 32"))
     own = F.struct(F.expr("n div 32").alias("chunk"), (F.col("n") % 32 + 3).alias("slot"))
     after = F.struct(F.expr("n div 32 + 1").alias("chunk"), (F.col("n") % 32 - 29).alias("slot"))
     at = F.when(F.col("n") % 32 >= 29, F.array(own, after)).otherwise(F.array(own))
@@ -31,19 +32,19 @@ def tbptt_chunks(spark, sf_dir):
 @query(f"WITH {MONO_SQL}, w AS (SELECT track_id, n, list(x) OVER s AS seq, list(x) OVER l AS label, list(x) OVER p AS pred FROM wave WINDOW s AS (PARTITION BY track_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), l AS (PARTITION BY track_id ORDER BY n ROWS BETWEEN 4 FOLLOWING AND 7 FOLLOWING), p AS (PARTITION BY track_id ORDER BY n ROWS BETWEEN 8 FOLLOWING AND 11 FOLLOWING)) SELECT track_id, n, array_to_string(seq, ' ') AS seq, array_to_string(label, ' ') AS label, array_to_string(pred, ' ') AS pred FROM w WHERE len(pred) = 4")
 def forecast_window_arrays(spark, sf_dir):
     """For each start: eight samples, the last four of them again as labels, and the four to forecast."""
-    w = Window.partitionBy("track_id").orderBy("n")
-    shown = lambda a, b: F.array_join(F.collect_list("x").over(w.rowsBetween(a, b)), " ")
-    rows = wave_mono(spark, sf_dir).select("track_id", "n", shown(0, 7).alias("seq"), shown(4, 7).alias("label"), shown(8, 11).alias("pred"), F.lead("n", 11).over(w).alias("end"))
-    return rows.where("end is not null").drop("end")
+    shown = lambda w, a, b: F.array_join(F.collect_list("x").over(w.rowsBetween(a, b)), " ")
+    columns = lambda w: {"seq": shown(w, 0, 7), "label": shown(w, 4, 7), "pred": shown(w, 8, 11), "end": F.lead("n", 11).over(w)}
+    return with_neighbours(wave_mono(spark, sf_dir), columns, 0, 11).where("end is not null").select("track_id", "n", "seq", "label", "pred")
 
 
 @query(f"WITH {MONO_SQL}, z AS (SELECT track_id, count(*) // 4 AS step FROM wave GROUP BY ALL), s AS (SELECT track_id, n // step AS stream, n % step AS pos, x FROM wave JOIN z USING (track_id) WHERE n < 4 * step) SELECT track_id, stream, pos, x AS token, lead(x) OVER w AS target, pos // 16 AS batch, CAST(sum(x) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS BIGINT) AS context FROM s WINDOW w AS (PARTITION BY track_id, stream ORDER BY pos)")
 def lm_streams(spark, sf_dir):
     """Each track trimmed to four streams of equal length, with targets one ahead, batches of 16 and their context."""
-    rows = wave_mono(spark, sf_dir).withColumn("step", F.expr("count(1) over (partition by track_id) div 4")).where("n < 4 * step")
+    rows = with_length(wave_mono(spark, sf_dir)).withColumn("step", F.expr("len div 4")).where("n < 4 * step")
     rows = rows.select("track_id", F.expr("n div step").alias("stream"), (F.col("n") % F.col("step")).alias("pos"), "x")
-    w = Window.partitionBy("track_id", "stream").orderBy("pos")
-    return rows.select("track_id", "stream", "pos", F.col("x").alias("token"), F.lead("x").over(w).alias("target"), F.expr("pos div 16").alias("batch"), F.sum("x").over(w.rowsBetween(-4, -1)).alias("context"))
+    columns = lambda w: {"target": F.lead("x").over(w), "context": F.sum("x").over(w.rowsBetween(-4, -1))}
+    near = with_neighbours(rows.withColumn("key", F.struct("track_id", "stream")), columns, 4, 1, "key", "pos")
+    return near.select("track_id", "stream", "pos", F.col("x").alias("token"), "target", F.expr("pos div 16").alias("batch"), "context")
 
 
 @query(f"WITH {TURNS_SQL}, t AS (SELECT conv_id, turn, len(words) AS n FROM turns), p AS (SELECT conv_id, turn, n, CAST(coalesce(sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t) SELECT conv_id, turn, start // 64 AS slot, start % 64 AS place, (start + n) // 64 - start // 64 + 1 AS slots FROM p")
@@ -110,7 +111,7 @@ def destandardize(spark, sf_dir):
     rows = wave_mono(spark, sf_dir)
     stats = rows.groupBy("track_id").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation")).where("deviation > 0")
     scaled = rows.join(stats, "track_id").withColumn("z", (F.col("x") - F.col("mean")) / F.col("deviation"))
-    scaled = scaled.withColumn("forecast", F.lag("z").over(Window.partitionBy("track_id").orderBy("n"))).where("forecast is not null")
+    scaled = with_neighbours(scaled, lambda w: {"forecast": F.lag("z").over(w)}, 1).where("forecast is not null")
     back = lambda c: F.col(c) * F.col("deviation") + F.col("mean")
     return scaled.groupBy("track_id").agg(F.round(F.avg(F.abs(F.col("z") - F.col("forecast")) * F.col("deviation")), 3).alias("mae"), F.round(F.avg(F.abs(back("z") - back("forecast"))), 3).alias("back"))
 

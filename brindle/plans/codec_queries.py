@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.entropy import RICE_K_SQL, best_of, bytes_of, quotient_sums, rice_bits, rice_k, verbatim_bytes
 from ..functions.quant import unzigzag, zigzag
 from ..operators.frames import SCHEMES_SQL, fixed_residual, framed, residual_frames, residual_sql, stereo_schemes
+from ..operators.numbering import with_neighbours
 from ..sources.views import MONO_SQL, STEREO_SQL, table, wave_mono, wave_stereo
 from .registry import query
 
@@ -145,8 +146,7 @@ def global_midside_choice(spark, sf_dir):
     x - 4 * lag(x, 1) OVER w + 6 * lag(x, 2) OVER w - 4 * lag(x, 3) OVER w + lag(x, 4) OVER w AS e4 FROM wave WINDOW w AS (PARTITION BY track_id ORDER BY n))
     SELECT track_id, {', '.join(f'CAST(sum(abs(e{o})) FILTER (n >= 4) AS BIGINT) AS sum{o}' for o in range(5))} FROM e GROUP BY track_id""")
 def fixed_predictor_orders(spark, sf_dir):
-    window = Window.partitionBy("track_id").orderBy("n")
-    rows = wave_mono(spark, sf_dir).select("track_id", "n", *(fixed_residual(F.col("x"), o, window).alias(f"e{o}") for o in range(5)))
+    rows = with_neighbours(wave_mono(spark, sf_dir), lambda w: {f"e{o}": fixed_residual(F.col("x"), o, w) for o in range(5)}, 4)
     return rows.groupBy("track_id").agg(*(F.sum(F.when(F.col("n") >= 4, F.abs(f"e{o}"))).alias(f"sum{o}") for o in range(5)))
 
 
@@ -161,8 +161,7 @@ def constant_subframes(spark, sf_dir):
 
 @query(f"WITH {MONO_SQL}, c AS (SELECT a.track_id, l.lag, CAST(sum(a.x * b.x) AS BIGINT) AS r FROM wave a, range(0, 9) l(lag), wave b WHERE b.track_id = a.track_id AND b.n = a.n - l.lag GROUP BY ALL) SELECT * FROM c")
 def autocorrelation_lags(spark, sf_dir):
-    window = Window.partitionBy("track_id").orderBy("n")
-    rows = wave_mono(spark, sf_dir).select("track_id", "x", *(F.lag("x", j).over(window).alias(f"x{j}") for j in range(9)))
+    rows = with_neighbours(wave_mono(spark, sf_dir), lambda w: {f"x{j}": F.lag("x", j).over(w) for j in range(9)}, 8)
     sums = rows.groupBy("track_id").agg(*(F.sum(F.col("x") * F.col(f"x{j}")).alias(f"r{j}") for j in range(9)))
     long = sums.select("track_id", F.explode(F.array(*(F.struct(F.lit(j).cast("long").alias("lag"), F.col(f"r{j}").alias("r")) for j in range(9)))).alias("c"))
     return long.select("track_id", "c.*").where("r is not null")

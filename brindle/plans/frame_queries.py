@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import quant
 from ..operators.frames import framed, overlapping
+from ..operators.numbering import running_sum, with_length
 from ..sources.views import FLOAT_SQL, MONO_SQL, STEREO_SQL, wave_float, wave_mono, wave_stereo
 from .registry import query
 
@@ -34,10 +35,8 @@ def frames_overlap(spark, sf_dir):
 @query(f"WITH {MONO_SQL}, t AS (SELECT track_id, n, x, CASE WHEN n < 28 THEN 0 ELSE (n - 4) // 24 END AS win FROM wave), m AS (SELECT track_id, max(n) // 24 AS last FROM wave GROUP BY ALL) SELECT track_id, n, x, least(win, last) AS win FROM t JOIN m USING (track_id)")
 def overlap_trim(spark, sf_dir):
     """Each sample once, from the window that keeps it when windows give up half of each overlap."""
-    rows = overlapping(wave_mono(spark, sf_dir), 32, 8)
-    last = F.expr("n div 24").alias("m")
-    final = F.max(last).over(Window.partitionBy("track_id"))
-    rows = rows.withColumn("final", final)
+    rows = overlapping(with_length(wave_mono(spark, sf_dir)), 32, 8)
+    rows = rows.withColumn("final", F.expr("(len - 1) div 24"))
     head = (F.col("win") == 0) | (F.col("at") >= 4)
     tail = (F.col("win") == F.col("final")) | (F.col("at") < 28)
     return rows.where(head & tail).select("track_id", "n", "x", "win")
@@ -59,7 +58,7 @@ def interleave_temporal(spark, sf_dir):
 @query(f"""WITH {STEREO_SQL}, s AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS len FROM wave), b AS (SELECT *, least(100, len) AS bn FROM s), c AS (SELECT *, n // bn AS blk, least(bn, len - bn * (n // bn)) AS lb FROM b)
     SELECT track_id, 2 * bn * blk + (n - bn * blk) AS pos, l AS x FROM c UNION ALL SELECT track_id, 2 * bn * blk + lb + (n - bn * blk), r FROM c""")
 def interleave_block_n(spark, sf_dir):
-    rows = wave_stereo(spark, sf_dir).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("track_id"))).withColumn("bn", F.least(F.lit(100).cast("long"), "len"))
+    rows = with_length(wave_stereo(spark, sf_dir)).withColumn("bn", F.least(F.lit(100).cast("long"), "len"))
     rows = rows.withColumn("blk", F.expr("n div bn")).withColumn("at", F.col("n") - F.col("bn") * F.col("blk")).withColumn("lb", F.least(F.col("bn"), F.col("len") - F.col("bn") * F.col("blk")))
     base = 2 * F.col("bn") * F.col("blk") + F.col("at")
     pair = F.array(F.struct(base.alias("pos"), F.col("l").alias("x")), F.struct((base + F.col("lb")).alias("pos"), F.col("r").alias("x")))
@@ -144,8 +143,8 @@ def fixed_float_roundtrip(spark, sf_dir):
 
 @query(f"WITH {MONO_SQL} SELECT track_id, n, round(avg(x) OVER w, 6) AS running_mean, CAST(sum(x) OVER w AS BIGINT) AS running_sum FROM wave WINDOW w AS (PARTITION BY track_id ORDER BY n ROWS UNBOUNDED PRECEDING)")
 def running_pool(spark, sf_dir):
-    window = Window.partitionBy("track_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return wave_mono(spark, sf_dir).select("track_id", "n", F.round(F.avg("x").over(window), 6).alias("running_mean"), F.sum("x").over(window).alias("running_sum"))
+    rows = running_sum(wave_mono(spark, sf_dir), "x", "running_sum")
+    return rows.select("track_id", "n", F.round(F.col("running_sum") / (F.col("n") + 1), 6).alias("running_mean"), "running_sum")
 
 
 @query(f"WITH {MONO_SQL} SELECT track_id, n // 4 AS n, x FROM wave WHERE n % 4 = 0")
@@ -161,7 +160,7 @@ def packed_weights(spark, sf_dir):
 
 @query(f"WITH {MONO_SQL}, l AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS len FROM wave) SELECT track_id, (n + 5) % len AS pos, x FROM l")
 def circular_roll(spark, sf_dir):
-    rows = wave_mono(spark, sf_dir).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
+    rows = with_length(wave_mono(spark, sf_dir))
     return rows.select("track_id", F.pmod(F.col("n") + 5, "len").alias("pos"), "x")
 
 

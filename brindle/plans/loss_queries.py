@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.numbering import with_neighbours
 from ..sources.views import MONO_SQL, table, wave_mono
 from .registry import query
 
@@ -45,8 +46,8 @@ def smoothed_cross_entropy(spark, sf_dir):
 @query(f"WITH {MONO_SQL}, p AS (SELECT track_id, n, x / 1000.0::DOUBLE AS x, lag(x, 1, 0) OVER w / 1000.0::DOUBLE AS mean, 1 + abs(lag(x, 2, 0) OVER w) / 10000.0::DOUBLE AS raw FROM wave WINDOW w AS (PARTITION BY track_id ORDER BY n)) SELECT track_id, round(avg(0.5 * ln(2 * pi()) + ln(ln(1 + exp(raw))) + pow((x - mean) / ln(1 + exp(raw)), 2) / 2), 6) AS nll FROM p GROUP BY track_id")
 def gaussian_nll(spark, sf_dir):
     """The negative log-likelihood of each sample under a Gaussian about the one before, its scale a softplus."""
-    w = Window.partitionBy("track_id").orderBy("n")
-    rows = wave_mono(spark, sf_dir).select("track_id", (F.col("x") / 1000).alias("x"), (F.lag("x", 1, 0).over(w) / 1000).alias("mean"), (1 + F.abs(F.lag("x", 2, 0).over(w)) / 10000).alias("raw"))
+    near = with_neighbours(wave_mono(spark, sf_dir), lambda w: {"mean": F.lag("x", 1, 0).over(w) / 1000, "raw": 1 + F.abs(F.lag("x", 2, 0).over(w)) / 10000}, 2)
+    rows = near.select("track_id", (F.col("x") / 1000).alias("x"), "mean", "raw")
     scale = F.log(1 + F.exp("raw"))
     nll = 0.5 * math.log(2 * math.pi) + F.log(scale) + F.pow((F.col("x") - F.col("mean")) / scale, F.lit(2)) / 2
     return rows.groupBy("track_id").agg(F.round(F.avg(nll), 6).alias("nll"))
@@ -122,16 +123,15 @@ def mergeable_metrics(spark, sf_dir):
 @query(f"WITH {MONO_SQL}, e AS (SELECT track_id, abs(10 * x - 9 * lag(x, 1, 0) OVER w) AS a, abs(10 * x - 9 * lead(x, 1, 0) OVER w) AS b FROM wave WINDOW w AS (PARTITION BY track_id ORDER BY n)) SELECT track_id, CAST(sum(a) AS BIGINT) AS forward, CAST(sum(b) AS BIGINT) AS flipped, least(forward, flipped) AS best FROM e GROUP BY track_id")
 def best_direction(spark, sf_dir):
     """The lesser of two losses: read forwards and read backwards."""
-    w = Window.partitionBy("track_id").orderBy("n")
-    errors = wave_mono(spark, sf_dir).select("track_id", F.abs(10 * F.col("x") - 9 * F.lag("x", 1, 0).over(w)).alias("a"), F.abs(10 * F.col("x") - 9 * F.lead("x", 1, 0).over(w)).alias("b"))
+    off = lambda other: F.abs(10 * F.col("x") - 9 * other)
+    errors = with_neighbours(wave_mono(spark, sf_dir), lambda w: {"a": off(F.lag("x", 1, 0).over(w)), "b": off(F.lead("x", 1, 0).over(w))}, 1, 1)
     return errors.groupBy("track_id").agg(F.sum("a").alias("forward"), F.sum("b").alias("flipped"), F.least(F.sum("a"), F.sum("b")).alias("best"))
 
 
 @query(f"WITH {MONO_SQL}, z AS (SELECT track_id, n, x, lag(x, 1, 0) OVER (PARTITION BY track_id ORDER BY n) AS p, n < 10 + track_id % 50 AS used FROM wave) SELECT track_id, round(avg(pow(x - p, 2)) FILTER (used), 3) AS mse, round(avg(abs(x - p)) FILTER (used), 6) AS mae, round(abs(avg(x) FILTER (used) - avg(p) FILTER (used)), 6) AS row_error FROM z GROUP BY track_id")
 def masked_errors(spark, sf_dir):
     """Squared and absolute errors within each track's length, and the error of its mean."""
-    p = F.lag("x", 1, 0).over(Window.partitionBy("track_id").orderBy("n"))
-    rows = wave_mono(spark, sf_dir).withColumn("p", p).where(F.col("n") < 10 + F.col("track_id") % 50)
+    rows = with_neighbours(wave_mono(spark, sf_dir), lambda w: {"p": F.lag("x", 1, 0).over(w)}, 1).where(F.col("n") < 10 + F.col("track_id") % 50)
     gap = F.col("x") - F.col("p")
     return rows.groupBy("track_id").agg(F.round(F.avg(F.pow(gap, F.lit(2))), 3).alias("mse"), F.round(F.avg(F.abs(gap)), 6).alias("mae"), F.round(F.abs(F.avg("x") - F.avg("p")), 6).alias("row_error"))
 

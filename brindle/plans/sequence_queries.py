@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_path
+from ..operators.numbering import with_length, with_neighbours
 from ..sources.views import MONO_SQL, table, wave_mono
 from ..streaming.windows import carried, latest_state, run_to_end, sessions, stream_of, windowed
 from .registry import query
@@ -48,17 +49,15 @@ def lm_shift_targets(spark, sf_dir):
 
 @query(f"WITH {MONO_SQL} SELECT track_id, n, coalesce(lag(x) OVER (PARTITION BY track_id ORDER BY n), 0) AS x, x AS y FROM wave")
 def autoregressive_lag(spark, sf_dir):
-    window = Window.partitionBy("track_id").orderBy("n")
-    return wave_mono(spark, sf_dir).select("track_id", "n", F.lag("x", 1, 0).over(window).alias("x"), F.col("x").alias("y"))
+    rows = with_neighbours(wave_mono(spark, sf_dir), lambda w: {"before": F.lag("x", 1, 0).over(w)}, 1)
+    return rows.select("track_id", "n", F.col("before").alias("x"), F.col("x").alias("y"))
 
 
 @query(f"WITH {MONO_SQL} SELECT track_id, n, CAST(sum(x) OVER (PARTITION BY track_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS BIGINT) AS context, CAST(sum(x) OVER (PARTITION BY track_id ORDER BY n ROWS BETWEEN 8 FOLLOWING AND 11 FOLLOWING) AS BIGINT) AS target FROM wave QUALIFY count(*) OVER (PARTITION BY track_id) - n >= 12")
 def forecast_windows(spark, sf_dir):
     """A window for each start that has a whole context of eight samples and a target of four."""
-    order = Window.partitionBy("track_id").orderBy("n")
-    rows = wave_mono(spark, sf_dir).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
-    rows = rows.withColumn("context", F.sum("x").over(order.rowsBetween(0, 7))).withColumn("target", F.sum("x").over(order.rowsBetween(8, 11)))
-    return rows.where("len - n >= 12").select("track_id", "n", "context", "target")
+    columns = lambda w: {"context": F.sum("x").over(w.rowsBetween(0, 7)), "target": F.sum("x").over(w.rowsBetween(8, 11)), "end": F.lead("n", 11).over(w)}
+    return with_neighbours(wave_mono(spark, sf_dir), columns, 0, 11).where("end is not null").select("track_id", "n", "context", "target")
 
 
 @query("SELECT event_id, round(second(ts) / 59.0 - 0.5, 6) AS second, round(minute(ts) / 59.0 - 0.5, 6) AS minute, round(hour(ts) / 23.0 - 0.5, 6) AS hour, round((isodow(ts) - 1) / 6.0 - 0.5, 6) AS weekday, round((day(ts) - 1) / 30.0 - 0.5, 6) AS day, round((dayofyear(ts) - 1) / 365.0 - 0.5, 6) AS dayofyear, round((month(ts) - 1) / 11.0 - 0.5, 6) AS month, round((weekofyear(ts) - 1) / 52.0 - 0.5, 6) AS week, CAST(minute(ts) // 15 AS BIGINT) AS quarter FROM events")
@@ -81,7 +80,7 @@ def zscore_train_only(spark, sf_dir):
 
 @query(f"WITH {MONO_SQL}, l AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS len FROM wave) SELECT track_id, n, CASE WHEN n < floor(len * 0.7) THEN 'train' WHEN n < floor(len * 0.7) + floor(len * 0.1) THEN 'val' ELSE 'test' END AS split FROM l")
 def ordinal_split(spark, sf_dir):
-    rows = wave_mono(spark, sf_dir).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
+    rows = with_length(wave_mono(spark, sf_dir))
     a, b = F.floor(F.col("len") * 0.7), F.floor(F.col("len") * 0.1)
     return rows.select("track_id", "n", F.when(F.col("n") < a, "train").when(F.col("n") < a + b, "val").otherwise("test").alias("split"))
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.quant import zigzag
 from ..operators.frames import stereo_schemes
+from ..operators.numbering import with_neighbours
 from ..sources.views import FLOAT_SQL, MONO_SQL, RUNS_SQL, STEREO_SQL, runs, table, wave_float, wave_mono, wave_stereo
 from .registry import query
 
@@ -96,7 +97,6 @@ def dithering_study(spark, sf_dir):
 @query(f"WITH {MONO_SQL}, d AS (SELECT track_id, n // 256 AS chunk, x - lag(x, 1, 0) OVER (PARTITION BY track_id ORDER BY n) AS e FROM wave), z AS (SELECT track_id, chunk, CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END AS z FROM d), c AS (SELECT track_id, chunk, count(*) AS samples, CAST(sum(length(bin(z))) AS BIGINT) AS bits FROM z GROUP BY ALL) SELECT chunk, CAST(sum(samples) AS BIGINT) AS samples, round(sum(bits) / sum(samples), 6) AS bits_per_sample, round(avg(bits / samples), 6) AS mean_over_tracks, count(*) AS tracks FROM c GROUP BY chunk")
 def rate_by_position(spark, sf_dir):
     """Bits that differences need, by how far into a track they lie: over all samples and as a mean over tracks."""
-    e = F.col("x") - F.lag("x", 1, 0).over(Window.partitionBy("track_id").orderBy("n"))
-    rows = wave_mono(spark, sf_dir).withColumn("e", e).select("track_id", F.expr("n div 256").alias("chunk"), zigzag("e").alias("z"))
+    rows = with_neighbours(wave_mono(spark, sf_dir), lambda w: {"e": F.col("x") - F.lag("x", 1, 0).over(w)}, 1).select("track_id", F.expr("n div 256").alias("chunk"), zigzag("e").alias("z"))
     chunks = rows.groupBy("track_id", "chunk").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.char_length(F.bin("z"))).alias("bits"))
     return chunks.groupBy("chunk").agg(F.sum("samples").alias("samples"), F.round(F.sum("bits") / F.sum("samples"), 6).alias("bits_per_sample"), F.round(F.avg(F.col("bits") / F.col("samples")), 6).alias("mean_over_tracks"), F.count(F.lit(1)).alias("tracks"))

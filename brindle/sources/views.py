@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.numbering import numbered
 from ..session import ship
 
 STEREO_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_shipdate")
@@ -20,15 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def wave_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track_id, n, x: integer samples of one channel; a track a user, in order of time."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), n.cast("long").alias("n"), F.round(F.col("value") * 100).cast("long").alias("x"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("x"))
+    seconds = F.datediff("ts", F.lit("1970-01-01")) * 86_400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")  # in any time zone
+    return numbered(rows.withColumn("at", seconds), "track_id", ["at", "ts", "event_id"]).select("track_id", "n", "x")
 
 
 def wave_stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track_id, n, l, r: integer samples of two channels; a track a supplier."""
-    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*STEREO_ORDER)) - 1
-    items = table(spark, sf_dir, "lineitem")
-    return items.select(F.col("l_suppkey").alias("track_id"), n.cast("long").alias("n"), F.round("l_extendedprice").cast("long").alias("l"), F.round(F.col("l_quantity") * 1000).cast("long").alias("r"))
+    items = numbered(table(spark, sf_dir, "lineitem").select("l_suppkey", *STEREO_ORDER), "l_suppkey", [*STEREO_ORDER])
+    return items.select(F.col("l_suppkey").alias("track_id"), "n", F.round("l_extendedprice").cast("long").alias("l"), F.round(F.col("l_quantity") * 1000).cast("long").alias("r"))
 
 
 def wave_float(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +91,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, step, t (days), v: the metric history of each run."""
-    step = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), step.cast("long").alias("step"), F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long").alias("t"), F.col("o_totalprice").alias("v"))
+    t = F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("long")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), t.alias("t"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("v"))
+    return numbered(rows, "run_id", ["t", "o_orderdate", "o_orderkey"], "step").select("run_id", "step", "t", "v")
 
 
 MONO_SQL = "wave AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, CAST(round(value * 100) AS BIGINT) AS x FROM events)"
