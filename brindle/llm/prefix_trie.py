@@ -17,9 +17,9 @@ a third of all: they are sorted by range and joined into texts of up to `RUN_IDS
 of a node in order (SHA-256 has no parallel form) without holding them.
 
 Defined results: rows with a null conversation belong to none; a null role or text is empty; turns that tie (null or
-equal numbers) go by role, then text, and stay as often as they are there; a conversation that is left without turns
-counts at the root; an empty table gives an empty trie. Texts count by the SHA-256 of role and text. Extra columns aren't
-read.
+equal numbers) go by the SHA-256 of role and text, and stay as often as they are there; a conversation that is left
+without turns counts at the root; an empty table gives an empty trie. Turns are equal if those digests are. Extra columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -46,10 +46,8 @@ def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     """conv, pos (from 0), digest (of role and text), bytes (of the text) of each turn, in order."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
     digest = F.unhex(F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256))
-    rows = conversations.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    # order by content only where turn numbers tie; sorting by role and text would move texts
-    narrow = rows.select("conv", "turn", F.substring("role", 1, 16).alias("role"), F.substring("text", 1, 32).alias("text"), digest.alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
-    return numbered(narrow, "conv", ["turn", "role", "text", "digest"], "pos").select("conv", "pos", "digest", "bytes")
+    rows = conversations.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), digest.alias("digest"), F.octet_length(text).cast("long").alias("bytes"))
+    return numbered(rows, "conv", ["turn", "digest"], "pos").select("conv", "pos", "digest", "bytes")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,13 +212,13 @@ def op13_prefix_trie(spark, sf_dir):
 
 
 OP13_SQL = """
-WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
      h AS (SELECT c, own, (SELECT crc FROM (SELECT list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(CAST(c AS VARCHAR)) * 8), lambda i: i::UBIGINT)), lambda a, i: CASE WHEN i % 8 = 0 THEN (CASE WHEN (xor(a, ascii(substr(CAST(c AS VARCHAR), CAST(i // 8 + 1 AS INT), 1))::UBIGINT) & 1) = 1 THEN xor(xor(a, ascii(substr(CAST(c AS VARCHAR), CAST(i // 8 + 1 AS INT), 1))::UBIGINT) >> 1, 3988292384::UBIGINT) ELSE xor(a, ascii(substr(CAST(c AS VARCHAR), CAST(i // 8 + 1 AS INT), 1))::UBIGINT) >> 1 END)
               ELSE (CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) END) AS crc)) AS crc FROM (SELECT c, count(*) AS own FROM o GROUP BY c)),
      n AS (SELECT c, own, CAST(xor(crc, 4294967295::UBIGINT) % 9 AS BIGINT) AS h, c - c % 5 AS base FROM h),
      k AS (SELECT n.c, n.h, n.base, least(n.h, coalesce(b.own, 0)) AS k FROM n LEFT JOIN n b ON b.c = n.base),
      r AS (SELECT k.c, o.pos, role, text FROM k JOIN o ON o.c = k.base AND o.pos < k.h UNION ALL SELECT k.c, k.k + o.pos - k.h, role, text FROM k JOIN o ON o.c = k.c AND o.pos >= k.h),
-     p AS (SELECT c, pos + 1 AS d, sha256(string_agg(sha256(role || ':' || text), ',') OVER (PARTITION BY c ORDER BY pos)) AS key, strlen(text) AS bytes FROM r UNION ALL SELECT c, 0, '', 0 FROM k),
+     p AS (SELECT c, pos + 1 AS d, sha256(string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY pos)) AS key, strlen(text) AS bytes FROM r UNION ALL SELECT c, 0, '', 0 FROM k),
      l AS (SELECT c, max(d) AS len FROM p GROUP BY c),
      nodes AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY d, key),
      up AS (SELECT DISTINCT a.d, a.key, b.d AS bd, b.key AS bkey FROM p a JOIN p b ON a.c = b.c AND a.d = b.d - 1),
