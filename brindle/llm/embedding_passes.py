@@ -5,10 +5,13 @@ exact double-precision products. The leading bits are the path down a tree of ra
 splits at the median of a sample; the others are the signs of projections of the vector less the mean of its leaf. So
 keys split a hot cone or a cluster as evenly as isotropic vectors, wherever the mean lies.
 
-How many passes and how wide a window it takes is measured first (`plan`): pairs at just the threshold are made of
-vectors of the sample, towards others of it and towards their neighbours in key order, and the cheapest passes and
-window that bring the worse kind together with probability `RECALL` are taken, never fewer than PASSES and WINDOW.
-Up to EXACT vectors are all compared with each other.
+How many passes and how wide a window it takes is measured first (`plan`), at every size: pairs at just the threshold are
+made of vectors of the sample, towards others of it and towards their neighbours in key order, and of the passes and
+windows that bring the worse kind together with probability `RECALL` the cheapest are taken, never fewer than PASSES and
+WINDOW; there is no upper bound on passes, which are done in rounds of `ROUND`. A very hot cone may ask for more
+comparisons than there are pairs (and than a round has). Then (`Plan.exact`) all vectors are compared in blocks of the sorted order: a vector
+goes to another block only if its angle to that block's centre is within the block's radius and the threshold's angle,
+which loses no link.
 
 The sorted rows of all passes are numbered, and cut into blocks of many windows by number; a block also gets the last
 `window` rows before it. So what is found depends neither on partitions nor on their borders, and equal keys don't
@@ -18,7 +21,8 @@ A window bounds the comparisons, not the result: within each component every pai
 members, and counted where it lies, so that a group of thousands of near copies has all its links counted and none
 written out. Equal vectors are one node with a weight; copies cost nothing.
 
-A pair at the threshold is lost only if it shares a window in none of the passes and no chain of links ties its ends.
+A pair at the threshold is lost only if it shares a window in none of the passes and no chain of links ties its ends; in
+the exact way none is.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
 of different lengths don't link; repeated rows are copies of one another; a row with a null id counts as a copy or
@@ -28,6 +32,9 @@ gives an empty result. Float components are compared as the doubles that they ar
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,8 +52,10 @@ BITS = 48
 #: The probability with which a pair at the threshold is to share a window in some pass, and how wide a window may get.
 RECALL = 0.995
 WIDEST = 6144
-#: So many vectors are compared each with each.
-EXACT = 4096
+#: What a pass costs a vector besides its window, in comparisons; passes that are done at a time.
+PER_PASS, ROUND = 1024, 64
+#: Blocks of the exact way, at most, and bytes of their centres; vectors of a block, at least.
+BLOCKS, CENTRE_BYTES, LEAST_BLOCK = 4096, 64 << 20, 256
 #: Vectors (and bytes of them) in the sample that the trees are made of; sampled vectors of a leaf; pairs and passes of the measurement.
 SAMPLE, SAMPLE_BYTES, LEAF, PROBES, PROBE_PASSES = 32768, 32 << 20, 32, 1000, 24
 #: Members of a block when a component's pairs are counted: a 16th of the component within these bounds.
@@ -121,10 +130,20 @@ def threshold_pairs(unit: np.ndarray, order: np.ndarray, threshold: float, near:
     return x, threshold * x + np.sqrt(1 - threshold**2) * away
 
 
-def plan(sample: np.ndarray, nodes: int, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> tuple[int, int]:
-    """The passes and the window that find pairs at the threshold among so many vectors of the sample's kind."""
+@dataclass(frozen=True)
+class Plan:
+    """The passes and the window to take and the recall that they are to have, or exact: all pairs of blocks."""
+
+    passes: int
+    window: int
+    recall: float
+    exact: bool = False
+
+
+def plan(sample: np.ndarray, nodes: int, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> Plan:
+    """What finds pairs at the threshold among so many vectors of the sample's kind at the least cost."""
     if len(sample) < 2:
-        return passes, window
+        return Plan(passes, window, 1.0)
     length = sample.shape[1]
     trees = [Tree(sample, length, 1000 + seed) for seed in range(PROBE_PASSES)]
     order = np.argsort(trees[0].keys(sample), kind="stable")
@@ -137,18 +156,17 @@ def plan(sample: np.ndarray, nodes: int, threshold: float = THRESHOLD, passes: i
                 differing = tree.keys(x) ^ tree.keys(y)
                 same += tree.bits - np.where(differing > 0, np.floor(np.log2(np.maximum(differing, 1))) + 1, 0)
             chances.append(same / (same + PROBE_PASSES))  # of one more equal bit, as long as all were equal
-    best = None
-    w = window
-    while w <= max(window, WIDEST):
-        depth = max(0.0, np.log2(max(nodes, 1) / w))
-        k = passes
-        while min((np.mean(1 - (1 - p**depth) ** k) for p in chances), default=1) < RECALL and k < 4096:
+    most = max(nodes / 2, ROUND * (window + PER_PASS))  # beyond all pairs, and a round of passes, all pairs it is
+    best, w = None, window
+    while True:
+        depth, k = max(0.0, np.log2(max(nodes, 1) / w)), passes
+        while (recall := min((float(np.mean(1 - (1 - p**depth) ** k)) for p in chances), default=1.0)) < RECALL and k * (w + PER_PASS) <= most:
             k += max(1, k // 16)
-        cost = k * (w + 1024)
-        if best is None or cost < best[0]:
-            best = cost, k, w
+        if recall >= RECALL and k * (w + PER_PASS) <= most:
+            best, most = Plan(k, w, recall), k * (w + PER_PASS)
+        if w >= min(nodes, WIDEST):
+            return best or Plan(0, 0, 1.0, exact=True)
         w *= 2
-    return best[1], best[2]
 
 
 class Forest:
@@ -180,23 +198,24 @@ def sampled(nodes: DataFrame, count: int) -> dict[int, np.ndarray]:
     return {int(n): unit[lengths == n, :n] for n in np.unique(lengths)}
 
 
-def places(nodes: DataFrame, samples: dict[int, np.ndarray], passes: int) -> DataFrame:
-    """node, at: its place (pass, n) among all vectors sorted by key, for each pass."""
+def places(nodes: DataFrame, samples: dict[int, np.ndarray], passes: int, start: int = 0) -> DataFrame:
+    """node, at: its place (pass, n) among all vectors sorted by key, for each of so many passes from start on."""
     ship(nodes.sparkSession)
     spark = nodes.sparkSession
-    trees = {n: [Tree(x, n, seed) for seed in range(passes)] for n, x in samples.items()}
+    known = spark.sparkContext.broadcast({n: [Tree(x, n, seed) for seed in range(start, start + passes)] for n, x in samples.items()})
 
     def keyed(batches):
+        trees = known.value
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
                 unit, lengths = unit_column(part.column(1))
                 keys = np.zeros((passes, len(part)), np.int64)
                 for n in np.unique(lengths):
-                    of = trees.get(int(n)) or [Tree(np.zeros((0, int(n))), int(n), seed) for seed in range(passes)]
+                    of = trees.get(int(n)) or [Tree(np.zeros((0, int(n))), int(n), seed) for seed in range(start, start + passes)]
                     for seed in range(passes):
                         keys[seed, lengths == n] = of[seed].keys(unit[lengths == n, :n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(passes, dtype=np.int32), len(part))), pa.array(np.tile(lengths, passes)), pa.array(keys.ravel()), *(pa.array(np.tile(part.column(i).to_numpy(), passes)) for i in (2, 0))], names=["pass", "length", "key", "h", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(start, start + passes, dtype=np.int32), len(part))), pa.array(np.tile(lengths, passes)), pa.array(keys.ravel()), *(pa.array(np.tile(part.column(i).to_numpy(), passes)) for i in (2, 0))], names=["pass", "length", "key", "h", "node"])
 
     def numbered(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -251,6 +270,74 @@ def pass_links(nodes: DataFrame, placed: DataFrame, count: int, threshold: float
     return ordered.select("node", "v", "pass", "block", "n").mapInArrow(compared, "a long, b long")
 
 
+def block_links(nodes: DataFrame, samples: dict[int, np.ndarray], count: int, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b of spanning forests of all links among nodes (node, v): blocks of the sorted order, pruned by centre and radius."""
+    spark = nodes.sparkSession
+    ship(spark)
+    widest = max(samples, default=1)
+    edge = max(min(max(LEAST_BLOCK, count // 32), 4096), -(-count // max(1, min(BLOCKS, CENTRE_BYTES // (8 * widest)))))
+    placed = places(nodes, samples, 1).select("node", F.col("at")[0]["n"].alias("n"))
+    blocks = staged(nodes.join(placed, "node").select("node", "v", (F.size("v") * (1 << 32) + F.expr(f"n div {edge}")).alias("block")), "blocks")
+
+    def centred(table: pa.Table) -> pa.Table:
+        unit, _ = unit_rows(table.column("v").to_pylist())
+        mean = unit.mean(axis=0)
+        mean = mean / norm if (norm := np.linalg.norm(mean)) > 1e-9 else unit[0]
+        radius = float(np.arccos(np.clip((unit @ mean).min(), -1, 1)))
+        return pa.table({"block": table.column("block").slice(0, 1), "centre": pa.array([mean.tolist()], pa.list_(pa.float64())), "radius": [radius]})
+
+    found = blocks.groupBy("block").applyInArrow(centred, "block long, centre array<double>, radius double").toArrow()  # BLOCKS rows
+    ids, radii, of = found.column("block").to_numpy(), found.column("radius").to_numpy(), {}
+    for n in np.unique(ids >> 32):
+        at = np.flatnonzero(ids >> 32 == n)
+        of[int(n)] = ids[at], np.array(found.column("centre").take(pa.array(at)).to_pylist()).reshape(len(at), int(n)), radii[at]
+    known, reach = spark.sparkContext.broadcast(of), float(np.arccos(threshold)) + 1e-6
+
+    def dealt(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                own = part.column(2).to_numpy()
+                unit, lengths = unit_column(part.column(1))
+                for n in np.unique(lengths):
+                    here = np.flatnonzero(lengths == n)
+                    names, centres, spans = known.value[int(n)]
+                    near = np.arccos(np.clip(unit[here, :n] @ centres.T, -1, 1)) <= spans + reach
+                    i, j = np.nonzero(near | (names == own[here, None]))
+                    for k in range(0, len(i), 4096):
+                        row, other = here[i[k : k + 4096]], names[j[k : k + 4096]]
+                        taken, mine = part.take(pa.array(row)), own[row]
+                        yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(mine), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other))], names=["node", "v", "own", "lo", "hi"])
+
+    def compared(table: pa.Table) -> pa.Table:
+        unit, _ = unit_rows(table.column("v").to_pylist())
+        own, node = table.column("own").to_numpy(), table.column("node").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        one, two, forest, out = np.flatnonzero(own == lo), np.flatnonzero(own == hi), Forest(), []
+        for at in range(0, len(one), 512):
+            some = one[at : at + 512]
+            i, j = np.nonzero(unit[some] @ unit[two].T >= threshold)
+            a, b = node[some[i]], node[two[j]]
+            keep = a < b if lo == hi else a != b
+            out += [(x, y) for x, y in zip(a[keep].tolist(), b[keep].tolist()) if forest.join(x, y)]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    pairs = blocks.mapInArrow(dealt, f"node long, v {dict(nodes.dtypes)['v']}, own long, lo long, hi long").repartition(shuffle_width(spark), "lo", "hi")
+    return pairs.groupBy("lo", "hi").applyInArrow(compared, "a long, b long")
+
+
+def found_links(nodes: DataFrame, count: int, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+    """a, b of spanning forests of the links among nodes (node, v, staged), as their plan finds them; staged."""
+    samples = sampled(nodes, count)
+    known = sum(map(len, samples.values()))
+    plans = [plan(x, round(count * len(x) / known), threshold, passes, window) for x in samples.values()]
+    if any(p.exact for p in plans):
+        return staged(block_links(nodes, samples, count, threshold), "links")
+    passes, window = (max([least, *(getattr(p, name) for p in plans)]) for name, least in (("passes", passes), ("window", window)))
+    rounds = [staged(pass_links(nodes, places(nodes, samples, min(ROUND, passes - start), start), count, threshold, window), "links") for start in range(0, passes, ROUND)]
+    return reduce(DataFrame.union, rounds)
+
+
 def link_counts(members: DataFrame, sizes: DataFrame, total: int, threshold: float = THRESHOLD) -> DataFrame:
     """node, n: the weights of all other nodes of its component that are linked with it.
 
@@ -295,14 +382,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("m"))
     nodes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     count, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    samples = sampled(nodes, count)
-    if count <= EXACT:
-        passes, window = 1, max(count, 1)
-    else:
-        known = sum(map(len, samples.values()))
-        planned = [plan(x, round(count * len(x) / known), threshold, passes, window) for x in samples.values()]
-        passes, window = (max((p[i] for p in planned), default=least) for i, least in ((0, passes), (1, window)))
-    found = staged(pass_links(nodes.select("node", "v"), places(nodes, samples, passes), count, threshold, window), "links")
+    found = found_links(nodes.select("node", "v"), count, threshold, passes, window)
     parts = components(found)
     members = staged(nodes.join(parts, "node").select("component", "node", "least_id", "v", "m"), "members")
     sizes = staged(members.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "sizes")

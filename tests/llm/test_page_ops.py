@@ -261,13 +261,63 @@ def found_pairs(spark, x, n, pairs):
     return np.mean([at[i] == at[n + i] for i in range(pairs)]), at
 
 
-def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark, monkeypatch):
-    monkeypatch.setattr(embedding_passes, "EXACT", 1000, raising=False)
+def test_embeddings_find_isolated_pairs_in_a_hot_cone(spark):
     assert found_pairs(spark, hot_cone(12000, 300, 0.85), 12000, 300)[0] >= 0.99
 
 
+@pytest.mark.parametrize("cone", (0.0, 0.6))
+def test_passes_against_brute_force(spark, cone, monkeypatch):
+    """Thousands of vectors through the passes alone: all links of all components."""
+    monkeypatch.setattr(embedding_passes, "block_links", None)
+    x = np.vstack([hot_cone(6000, 500, cone), hot_cone(300, 300, 0.97, 0.985)])  # pairs and a dense ball
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = {r.id: r.n_links for r in embedding_passes.embedding_groups(frame).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    given = np.array([got[i] for i in range(len(x))])
+    assert (given <= links).all() and given.sum() >= 0.99 * links.sum()
+
+
+def test_plans_reach_their_recall_or_are_exact():
+    for cone, nodes in ((0.0, 10**6), (0.85, 10**6), (0.85, 10**8), (0.92, 10**5), (0.92, 10**9)):
+        x = hot_cone(4096, 0, cone).astype(float)
+        found = embedding_passes.plan(x / np.linalg.norm(x, axis=1, keepdims=True), nodes)
+        assert found.recall >= embedding_passes.RECALL
+        assert found.exact or found.passes * (found.window + embedding_passes.PER_PASS) <= max(nodes / 2, embedding_passes.ROUND * (96 + embedding_passes.PER_PASS))
+
+
+def test_pruned_blocks_lose_no_link(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 24)) * 2
+    x = np.vstack([centres[i % 30] + 0.5 * rng.normal(size=24) for i in range(2500)]).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(3000 + i, v[:20]) for i, v in enumerate(x[:200].tolist())]
+    nodes = staged(spark.createDataFrame(rows, "node long, v array<float>"), "nodes")
+    links = {tuple(sorted((r.a, r.b))) for r in embedding_passes.block_links(nodes, embedding_passes.sampled(nodes, 2700), 2700).collect()}
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def united(pairs):
+        for i in up:
+            up[i] = i
+        for a, b in pairs:
+            p, q = sorted((root(a), root(b)))
+            up[q] = p
+        return {i: root(i) for i in up}
+
+    want = []
+    for part in (rows[:2500], rows[2500:]):
+        unit = np.array([v for _, v in part], float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        want += [(part[a][0], part[b][0]) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))]
+    assert len(want) > 1000 and links <= set(want)
+    assert united(links) == united(want)
+
+
 def test_embeddings_do_not_depend_on_partitions(spark, monkeypatch):
-    monkeypatch.setattr(embedding_passes, "EXACT", 1000, raising=False)
     x, found = hot_cone(3000, 300, 0.8), []
     for width in ("4", "200"):
         monkeypatch.setattr(embedding_passes, "shuffle_width", lambda spark, width=int(width): width)
