@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.draws import weighted_draws
+from ..operators.numbering import numbered, with_length
 from ..sources.views import MONO_SQL, STEREO_SQL, table, wave_mono, wave_stereo
 from .registry import query
 
@@ -24,11 +26,12 @@ def seeded_sample(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", draw(F.col("event_id"), 7, 1000).alias("draw")).where("draw < 200")
 
 
-@query(f"SELECT track_id, n, row_number() OVER (PARTITION BY track_id ORDER BY md5(n || '-3'), n) - 1 AS place FROM (WITH {MONO_SQL} SELECT * FROM wave WHERE n < 64) ")
+@query(f"WITH {MONO_SQL} SELECT track_id, n, row_number() OVER (PARTITION BY track_id ORDER BY {draw_sql('n', 3, 1 << 32)}, md5(n || '-3'), n) - 1 AS place FROM wave")
 def seeded_shuffle(spark, sf_dir):
-    """The first 64 samples of each track (the feature: a head) in a shuffled order."""
-    place = F.row_number().over(Window.partitionBy("track_id").orderBy(F.md5(F.concat(F.col("n").cast("string"), F.lit("-3"))), "n")) - 1
-    return wave_mono(spark, sf_dir).where("n < 64").select("track_id", "n", place.alias("place"))
+    """All samples of each track in an order that a seed gives; places go by ranges of hashes, so a track is many tasks' work."""
+    key = F.md5(F.concat(F.col("n").cast("string"), F.lit("-3")))
+    rows = wave_mono(spark, sf_dir).select("track_id", "n", draw(F.col("n"), 3, 1 << 32).alias("lead"), key.alias("h"))
+    return numbered(rows, "track_id", ["lead", "h", "n"], "place").select("track_id", "n", "place")
 
 
 @query(f"WITH {MONO_SQL} SELECT track_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS total FROM wave WHERE n < 40 GROUP BY track_id")
@@ -43,27 +46,25 @@ def upsample(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.expr("sequence(0L, p_size % 4)")).alias("copy"))
 
 
-_WEIGHTS_SQL = "w AS (SELECT s_nationkey AS item, CAST(count(*) AS BIGINT) AS weight FROM supplier GROUP BY ALL), c AS (SELECT item, weight, CAST(sum(weight) OVER (ORDER BY item) AS BIGINT) AS upto FROM w)"
+_WEIGHTS_SQL = "w AS (SELECT l_suppkey AS item, CAST(count(*) AS BIGINT) AS weight FROM lineitem GROUP BY ALL), c AS (SELECT item, weight, CAST(sum(weight) OVER (ORDER BY item) AS BIGINT) AS upto FROM w)"
 
 
 @query(f"WITH {_WEIGHTS_SQL}, d AS (SELECT o_orderkey AS slot, {draw_sql('o_orderkey', 5, '(SELECT max(upto) FROM c)')} AS u FROM orders) SELECT slot, item FROM d JOIN c ON u >= upto - weight AND u < upto")
 def weighted_sample(spark, sf_dir):
-    """A draw with replacement for each slot: items (25 nations) by weight, found in their cumulative weights."""
-    weights = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("item")).agg(F.count(F.lit(1)).alias("weight"))
-    edges = weights.select("item", "weight", F.sum("weight").over(Window.orderBy("item")).alias("upto"))
-    edge = edges.agg(F.array_sort(F.collect_list(F.struct("upto", "item"))).alias("edges"), F.max("upto").alias("all"))
-    slots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot")).join(F.broadcast(edge))
-    u = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("slot").cast("string"), F.lit("-5"))), 1, 8), 16, 10).cast("long"), F.col("all"))
-    return slots.withColumn("u", u).select("slot", F.expr("element_at(filter(edges, e -> e.upto > u), 1).item").alias("item"))
+    """A draw with replacement for each order: suppliers, by the number of their line items."""
+    weights = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("item")).agg(F.count(F.lit(1)).alias("weight"))
+    slots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"))
+    return weighted_draws(slots, weights, lambda total: F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("slot").cast("string"), F.lit("-5"))), 1, 8), 16, 10).cast("long"), total)).select("slot", "item")
 
 
-@query("WITH s AS (SELECT s_suppkey, s_nationkey AS g, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), c AS (SELECT unnest(range(6)) AS chunk), p AS (SELECT chunk, unnest(range(4)) AS k FROM c), g AS (SELECT DISTINCT g, n FROM s) SELECT g.g AS grp, chunk, k, s_suppkey FROM g CROSS JOIN p JOIN s ON s.g = g.g AND s.i = (chunk * 4 + k) % g.n")
+@query(f"WITH s AS (SELECT s_suppkey, s_nationkey AS g, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), p AS (SELECT user_id % 25 AS g, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) - 1 AS p, event_id FROM events) SELECT p.g AS grp, event_id, p // 4 AS chunk, p % 4 AS k, s_suppkey FROM p JOIN s ON s.g = p.g AND s.i = p % s.n")
 def cyclic_chunks(spark, sf_dir):
-    """Six chunks of four items of each group, one after the other, from the first again after the last."""
-    w = Window.partitionBy("s_nationkey")
-    items = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), "s_suppkey", (F.row_number().over(w.orderBy("s_suppkey")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    spots = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda p: F.pmod(p, F.col("n")) == F.col("i"))
-    return items.select("grp", "s_suppkey", F.explode(spots).alias("p")).select("grp", F.expr("p div 4").alias("chunk"), (F.col("p") % 4).cast("long").alias("k"), "s_suppkey")
+    """Every event of a group takes the next supplier of it, from the first again after the last; chunks of four."""
+    slots = numbered(table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("grp"), "event_id"), "grp", ["event_id"], "p")
+    items = with_length(numbered(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("grp"), "s_suppkey"), "grp", ["s_suppkey"], "i"), "size", "grp")
+    sizes = items.select("grp", "size").distinct()
+    found = slots.join(sizes, "grp").withColumn("i", F.col("p") % F.col("size")).drop("size").join(items, ["grp", "i"])
+    return found.select("grp", "event_id", F.expr("p div 4").alias("chunk"), (F.col("p") % 4).alias("k"), "s_suppkey")
 
 
 @query(f"SELECT i, {draw_sql('i', 1, 256)} AS noise, CASE WHEN i % 32 < 10 THEN {draw_sql('i', 2, 8)} + 1 ELSE 0 END AS copying, CASE WHEN i % 32 >= 4 THEN {draw_sql('(i - 4)', 1, 256)} ELSE 0 END AS delayed, ({draw_sql('i', 3, 32)} < 2)::INT AS marked FROM (SELECT unnest(range(4096)) AS i)")

@@ -42,8 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
+    return path
 
 
 def drop_at_end(spark: SparkSession, path: str) -> None:
