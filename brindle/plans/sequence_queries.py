@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..session import fresh_path
 from ..operators.numbering import with_length, with_neighbours
 from ..sources.views import MONO_SQL, table, wave_mono
+from ..streaming.expiring import first_seen, idle_closed, rocks_db
 from ..streaming.windows import carried, latest_state, run_to_end, sessions, stream_of, windowed
 from .registry import query
 
@@ -130,6 +131,26 @@ def stream_sessions(spark, sf_dir):
     return spark.read.parquet(run_to_end(sessions(stream_of(spark, f"{sf_dir}/events.parquet"), "2 hours"), "sessions"))
 
 
+@query(f"WITH {_CLOSED_SQL}, g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 2 HOUR, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g), w AS (SELECT user_id, k, min(ts) AS start, max(ts) AS last, count(*) AS n, {_CENTS_SQL} FROM s GROUP BY ALL), x AS (SELECT *, k < max(k) OVER (PARTITION BY user_id) AS followed FROM w) SELECT user_id, CAST(start AS TIMESTAMP) AS start, CAST(last AS TIMESTAMP) AS last, n, cents FROM x, mark WHERE followed OR last + INTERVAL 2 HOUR < mark")
+def stream_idle_timers(spark, sf_dir):
+    """Stretches of each user's events, closed by a timer once the user has been idle for two hours, whose state then goes.
+
+    A stretch that a later event of the user shows to have ended is written with that event.
+    """
+    with rocks_db(spark):
+        path = run_to_end(idle_closed(stream_of(spark, f"{sf_dir}/events.parquet"), 2 * 3_600_000), "idle")
+    rows = spark.read.parquet(path)
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "cents")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def stream_first_seen(spark, sf_dir):
+    """One event of each user and type, remembered for a day of processing time."""
+    with rocks_db(spark, without_data=False):
+        path = run_to_end(first_seen(stream_of(spark, f"{sf_dir}/events.parquet"), 86_400_000), "seen")
+    return spark.read.parquet(path)
+
+
 @query("SELECT user_id, count(*) AS seen, count(*) // 50 AS resets, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id")
 def stream_carried_state(spark, sf_dir):
     """State carried over micro-batches for each user, with a reset every fifty events."""
