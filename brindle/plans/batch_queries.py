@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.numbering import with_length, with_neighbours
+from ..operators.draws import cumulative
+from ..operators.numbering import numbered, with_length, with_neighbours
+from ..session import kept
 from ..sources.views import MONO_SQL, table, wave_mono
 from .registry import query
 
 #: Tokens of a conversation's turns: the words of its texts, numbered over the conversation.
-TURNS_SQL = "turns AS (SELECT conv_id, turn, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS words FROM conversations)"
+TURNS_SQL = "turns AS (SELECT conv_id, turn, list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x <> '') AS words FROM conversations)"
 
 
 def turns(spark, sf_dir):
-    words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("words"))
 
 
@@ -59,10 +61,10 @@ def stream_packing(spark, sf_dir):
 def concat_and_slice(spark, sf_dir):
     """All tracks laid end to end and cut into slices of 100; what is left over is dropped."""
     rows = wave_mono(spark, sf_dir)
-    sizes = rows.groupBy("track_id").agg(F.count(F.lit(1)).alias("size"))  # a row a track: their order is one small window
-    w = Window.orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("track_id", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy(F.lit(1))).alias("all"))
-    placed = rows.join(starts, "track_id").withColumn("slice", F.expr("(start + n) div 100")).where("slice < all div 100")
+    sizes = kept(rows.groupBy("track_id").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    starts = cumulative(sizes, "track_id", "size").select("track_id", F.col("low").alias("start"))
+    total = F.broadcast(sizes.agg(F.sum("size").alias("all")))
+    placed = rows.join(starts, "track_id").join(total, F.lit(True)).withColumn("slice", F.expr("(start + n) div 100")).where("slice < all div 100")
     return placed.groupBy("slice").agg(F.count(F.lit(1)).alias("size"), F.sum("x").alias("total"), F.min("track_id").alias("first"), F.max("track_id").alias("last"))
 
 
@@ -70,23 +72,23 @@ def concat_and_slice(spark, sf_dir):
 def detokenize(spark, sf_dir):
     """Words to ids of a vocabulary (with 1 for unknown ones) and back again."""
     rows = turns(spark, sf_dir).select("conv_id", "turn", F.posexplode("words").alias("i", "w"))
-    counts = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    vocabulary = counts.select("w", (F.row_number().over(Window.orderBy(F.desc("n"), "w")) + 1).alias("id"))
-    ids = rows.join(vocabulary, "w", "left").select("conv_id", "turn", "i", F.coalesce("id", F.lit(1)).alias("id"))
-    back = ids.join(vocabulary.withColumnRenamed("w", "word"), "id", "left").withColumn("word", F.coalesce("word", F.lit("<unk>")))
+    counts = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("w", (-F.col("n")).alias("less"), F.lit(0).alias("all"))
+    # ranks in two levels; the word stands beside its id, so that ids needn't be joined a second time (most are few ids)
+    vocabulary = numbered(counts, "all", ["less", "w"], "rank").select("w", (F.col("rank") + 2).alias("id"), F.col("w").alias("word"))
+    back = rows.join(vocabulary, "w", "left").select("conv_id", "turn", "i", F.coalesce("id", F.lit(1)).alias("id"), F.coalesce("word", F.lit("<unk>")).alias("word"))
     packed = back.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("i", "id", "word"))).alias("v"))
     return packed.select("conv_id", "turn", F.array_join(F.col("v.id").cast("array<string>"), " ").alias("ids"), F.array_join("v.word", " ").alias("words"))
 
 
-@query(f"WITH {TURNS_SQL}, t AS (SELECT conv_id, turn, [length(w) FOR w IN words] AS v, len(words) AS n FROM turns WHERE len(words) > 0), p AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS size FROM t) SELECT conv_id, turn, n, size, array_to_string(v || [0 FOR i IN range(size - n)], ' ') AS padded, array_to_string(v[2:] || [-100 FOR i IN range(size - n + 1)], ' ') AS labels FROM p")
+@query(f"WITH {TURNS_SQL}, t AS (SELECT conv_id, turn, [length(w) FOR w IN words] AS v, len(words) AS n FROM turns), p AS (SELECT *, CAST(pow(2, ceil(log2(greatest(n, 1)))) AS BIGINT) AS size FROM t) SELECT conv_id, turn, n, size, array_to_string(v || [0 FOR i IN range(size - n)], ' ') AS padded, array_to_string(v[2:] || [-100 FOR i IN range(size - greatest(n - 1, 0))], ' ') AS labels FROM p")
 def pad_power_of_two(spark, sf_dir):
     """Sequences padded to a power of two, with labels one ahead and -100 where there is none, and their lengths."""
-    rows = turns(spark, sf_dir).where(F.size("words") > 0).select("conv_id", "turn", F.transform("words", F.char_length).alias("v"), F.size("words").cast("long").alias("n"))
-    rows = rows.withColumn("size", F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long"))
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.transform("words", F.char_length).alias("v"), F.size("words").cast("long").alias("n"))
+    rows = rows.withColumn("size", F.pow(F.lit(2), F.ceil(F.log2(F.greatest("n", F.lit(1))))).cast("long"))
     gap = (F.col("size") - F.col("n")).cast("int")
     shown = lambda x: F.array_join(x.cast("array<string>"), " ")
     padded = F.concat("v", F.array_repeat(F.lit(0), gap))
-    labels = F.concat(F.expr("slice(v, 2, size(v))"), F.array_repeat(F.lit(-100), gap + 1))
+    labels = F.concat(F.expr("slice(v, 2, size(v))"), F.array_repeat(F.lit(-100), (F.col("size") - F.greatest(F.col("n") - 1, F.lit(0))).cast("int")))
     return rows.select("conv_id", "turn", "n", "size", shown(padded).alias("padded"), shown(labels).alias("labels"))
 
 
@@ -105,15 +107,15 @@ def pad_or_truncate(spark, sf_dir):
     return rows.select("conv_id", "turn", shown(F.lit(0)).alias("batch"), shown(F.element_at("v", -1)).alias("held"))
 
 
-@query(f"WITH {MONO_SQL}, s AS (SELECT track_id, avg(x) AS mean, stddev_pop(x) AS deviation FROM wave GROUP BY ALL), z AS (SELECT wave.track_id, n, (x - mean) / deviation AS z FROM wave JOIN s USING (track_id) WHERE deviation > 0), f AS (SELECT *, lag(z) OVER (PARTITION BY track_id ORDER BY n) AS forecast FROM z) SELECT f.track_id, round(avg(abs(z - forecast) * deviation), 3) AS mae, round(avg(abs((z * deviation + mean) - (forecast * deviation + mean))), 3) AS back FROM f JOIN s USING (track_id) WHERE forecast IS NOT NULL GROUP BY f.track_id")
+@query(f"WITH {MONO_SQL}, s AS (SELECT track_id, avg(x) AS mean, stddev_pop(x) AS deviation FROM wave GROUP BY ALL), z AS (SELECT wave.track_id, n, x, (x - mean) / deviation AS z FROM wave JOIN s USING (track_id) WHERE deviation > 0), f AS (SELECT *, lag(z) OVER (PARTITION BY track_id ORDER BY n) AS forecast FROM z) SELECT f.track_id, round(avg(abs(z - forecast) * deviation), 3) AS mae, round(avg(abs(x - (forecast * deviation + mean))), 3) AS back FROM f JOIN s USING (track_id) WHERE forecast IS NOT NULL GROUP BY f.track_id")
 def destandardize(spark, sf_dir):
-    """Forecasts of standardized series brought back to each series' own scale before the error is taken."""
+    """Forecasts of standardized series brought back to each series' own scale, where the error is taken from the samples themselves."""
     rows = wave_mono(spark, sf_dir)
     stats = rows.groupBy("track_id").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation")).where("deviation > 0")
     scaled = rows.join(stats, "track_id").withColumn("z", (F.col("x") - F.col("mean")) / F.col("deviation"))
     scaled = with_neighbours(scaled, lambda w: {"forecast": F.lag("z").over(w)}, 1).where("forecast is not null")
-    back = lambda c: F.col(c) * F.col("deviation") + F.col("mean")
-    return scaled.groupBy("track_id").agg(F.round(F.avg(F.abs(F.col("z") - F.col("forecast")) * F.col("deviation")), 3).alias("mae"), F.round(F.avg(F.abs(back("z") - back("forecast"))), 3).alias("back"))
+    forecast = F.col("forecast") * F.col("deviation") + F.col("mean")
+    return scaled.groupBy("track_id").agg(F.round(F.avg(F.abs(F.col("z") - F.col("forecast")) * F.col("deviation")), 3).alias("mae"), F.round(F.avg(F.abs(F.col("x") - forecast)), 3).alias("back"))
 
 
 @query("SELECT vec_id, label, array_to_string([(i = label)::INT FOR i IN range(10)], '') AS onehot FROM embeddings")

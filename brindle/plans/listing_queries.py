@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.latex import latex_escaped, latex_sql
+from ..operators.numbering import numbered
+from ..session import kept
 from ..sources.views import HISTORY_SQL, MONO_SQL, RUNS_SQL, STEREO_SQL, history, runs, table, wave_mono, wave_stereo
 from .registry import query
 from .report_queries import MEAN, MEAN_SQL, TAU
@@ -44,16 +46,16 @@ def union_results(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_custkey AS worker, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey % 10 AS digit, substr(o_orderpriority, 1, 1) AS intelligibility FROM orders)
-    SELECT worker, i AS recording, CAST(digit AS VARCHAR) AS digit, intelligibility FROM o WHERE i <= 3""")
+    SELECT worker, (i - 1) // 3 AS sheet, CAST((i - 1) % 3 + 1 AS INTEGER) AS recording, CAST(digit AS VARCHAR) AS digit, intelligibility FROM o""")
 def wide_to_long_by_pattern(spark, sf_dir):
-    """Survey answers in columns Answer.recording_{i}_{question}, a row for each worker, as a row for each recording."""
-    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    first = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("worker"), i.alias("i"), (F.col("o_orderkey") % 10).cast("string").alias("digit"), F.substring("o_orderpriority", 1, 1).alias("intelligibility")).where("i <= 3")
-    wide = first.groupBy("worker").agg(*(F.max(F.when(F.col("i") == k, F.col(q))).alias(f"Answer.recording_{k}_{q}") for k in (1, 2, 3) for q in ("digit", "intelligibility")))
-    answers = wide.unpivot("worker", [F.col(f"`{c}`") for c in wide.columns if c != "worker"], "question", "answer").where("answer is not null")
-    named = answers.select("worker", F.regexp_extract("question", r"recording_(\d+)_", 1).cast("int").alias("recording"), F.regexp_extract("question", r"_(\w+)$", 1).alias("q"), "answer")
+    """Survey answers in columns Answer.recording_{i}_{question}, a row for each worker's sheet of three, as a row for each recording."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("worker"), "o_orderkey", (F.col("o_orderkey") % 10).cast("string").alias("digit"), F.substring("o_orderpriority", 1, 1).alias("intelligibility"))
+    first = numbered(orders, "worker", ["o_orderkey"], "n").withColumn("sheet", F.expr("n div 3")).withColumn("i", F.col("n") % 3 + 1)
+    wide = first.groupBy("worker", "sheet").agg(*(F.max(F.when(F.col("i") == k, F.col(q))).alias(f"Answer.recording_{k}_{q}") for k in (1, 2, 3) for q in ("digit", "intelligibility")))
+    answers = wide.unpivot(["worker", "sheet"], [F.col(f"`{c}`") for c in wide.columns if c not in ("worker", "sheet")], "question", "answer").where("answer is not null")
+    named = answers.select("worker", "sheet", F.regexp_extract("question", r"recording_(\d+)_", 1).cast("int").alias("recording"), F.regexp_extract("question", r"_(\w+)$", 1).alias("q"), "answer")
     parts = named.withColumn("q", F.regexp_replace("q", r"^.*\d_", ""))
-    return parts.groupBy("worker", "recording").pivot("q", ["digit", "intelligibility"]).agg(F.max("answer"))
+    return parts.groupBy("worker", "sheet", "recording").pivot("q", ["digit", "intelligibility"]).agg(F.max("answer"))
 
 
 @query(f"WITH {HISTORY_SQL}, d AS (SELECT *, greatest(t - lag(t) OVER w, 0) AS gap FROM history WINDOW w AS (PARTITION BY run_id ORDER BY step)), g AS (SELECT run_id, step, (v - 200000) / 50000 AS v, CASE WHEN step = 0 THEN 0 WHEN gap <= 0 THEN 1 ELSE gap END AS dt FROM d), c AS (SELECT *, sum(dt) OVER (PARTITION BY run_id) - sum(dt) OVER (PARTITION BY run_id ORDER BY step) AS ahead FROM g), e AS (SELECT run_id, sum(CASE WHEN step = 0 THEN v ELSE (1 - exp(-dt / {TAU})) * v END * exp(-ahead / {TAU})) AS ema FROM c GROUP BY run_id) SELECT run_id, CASE WHEN round(ema, 4) > 0.01 THEN round(8 / ema, 3) END AS rate FROM e")
@@ -141,18 +143,18 @@ def map_argmax(spark, sf_dir):
     return maps.withColumn("best", best).where("best is not null").select("o_custkey", F.col("best.p").alias("class"), F.col("best.n").alias("weight"))
 
 
-@query("SELECT event_id, (event_id % 500) // 50 AS label, 'f' || event_id % 500 AS filename FROM events WHERE event_id % 700 < 500")
+@query("SELECT event_id, (event_id % 500) // 50 AS label, 'f' || event_id % 500 AS filename FROM events")
 def generated_dimension_join(spark, sf_dir):
     """Rows joined with a generated table of 500 file names and their labels."""
     names = spark.range(500).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename"), F.expr("id div 50").alias("label"))
-    events = table(spark, sf_dir, "events").where("event_id % 700 < 500").select("event_id", F.concat(F.lit("f"), (F.col("event_id") % 500).cast("string")).alias("filename"))
+    events = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("f"), (F.col("event_id") % 500).cast("string")).alias("filename"))
     return events.join(F.broadcast(names), "filename").select("event_id", "label", "filename")
 
 
 @query(f"WITH {STEREO_SQL} SELECT track_id, count(*) AS n, CAST(sum(abs(l - r)) AS BIGINT) AS difference FROM wave GROUP BY track_id")
 def positional_zip_join(spark, sf_dir):
     """Two channels kept as tables of their own, joined sample by sample."""
-    both = wave_stereo(spark, sf_dir)
+    both = kept(wave_stereo(spark, sf_dir), "channels")
     zipped = both.select("track_id", "n", "l").join(both.select("track_id", "n", "r"), ["track_id", "n"])
     return zipped.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("l") - F.col("r"))).alias("difference"))
 
@@ -201,8 +203,11 @@ def binarize_and_encode(spark, sf_dir):
 def natural_sort(spark, sf_dir):
     """Names in natural order: the numbers in them count as numbers."""
     named = table(spark, sf_dir, "part").withColumn("name", F.concat(F.regexp_replace("p_name", r"\d+", ""), F.lit("#"), (F.col("p_partkey") % 1000).cast("string")))
-    key = F.regexp_replace("name", r"#\d+$", "#"), F.lpad(F.regexp_extract("name", r"(\d+)$", 1), 12, "0"), "p_partkey"
-    return named.select("p_partkey", F.row_number().over(Window.partitionBy("p_type").orderBy(*key)).alias("place"))
+    named = named.select("p_type", "p_partkey", F.regexp_replace("name", r"#\d+$", "#").alias("stem"), F.lpad(F.regexp_extract("name", r"(\d+)$", 1), 12, "0").alias("number"))
+    # the first bytes of a stem as a number, by which types with very many names are cut
+    lead = F.conv(F.rpad(F.hex(F.substring(F.encode("stem", "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    ranked = numbered(named.withColumn("lead", lead), "p_type", ["lead", "stem", "number", "p_partkey"], "place")
+    return ranked.select("p_partkey", (F.col("place") + 1).alias("place"))
 
 
 @query("WITH g AS (SELECT n_regionkey AS band, n_nationkey % 3 AS fs, count(*) AS n FROM nation GROUP BY ALL), w AS (SELECT band, max(n * 10 + (n + 1) * 2) AS width FROM g GROUP BY band) SELECT band, width, CAST(coalesce(sum(width) OVER (ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM w")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import quant
 from ..operators.frames import residual_frames, residual_sql
 from ..operators.ranks import ranked_values
+from ..session import kept
 from ..sources.views import FLOAT_SQL, MONO_SQL, table, wave_float, wave_mono
 from .loss_queries import LOGITS_SQL, logits
 from .registry import query
@@ -108,7 +109,7 @@ def classification_metrics(spark, sf_dir):
 def auc_rank(spark, sf_dir):
     """The area under the curve from ranks: rows meet in counts a score, scores are ranked in two levels."""
     counts = _scored(spark, sf_dir).groupBy("n_chars").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    rows = ranked_values(counts.withColumn("all", F.lit(0)), "all", "n_chars", "neg")
+    rows = ranked_values(kept(counts.withColumn("all", F.lit(0)), "counts"), "all", "n_chars", "neg")
     return rows.agg(F.round(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

@@ -60,7 +60,9 @@ def best_config_rows(spark, sf_dir):
 @query(f"WITH {RUNS_SQL}, r AS (SELECT dataset, priority, run_id, CAST(floor(rate / 10000) AS BIGINT) AS bin FROM runs) SELECT * FROM r QUALIFY rank() OVER (PARTITION BY dataset, priority ORDER BY bin DESC) = 1")
 def best_in_group_ties(spark, sf_dir):
     rows = runs(spark, sf_dir).select("dataset", "priority", "run_id", F.floor(F.col("rate") / 10000).alias("bin"))
-    return rows.withColumn("top", F.max("bin").over(Window.partitionBy(*CFG))).where("bin = top").drop("top")
+    # a row a group, so that no group's rows meet in one task; they have all their ties by an equality with it
+    tops = rows.groupBy(*CFG).agg(F.max("bin").alias("bin"))
+    return rows.join(tops, [*CFG, "bin"], "left_semi").select("dataset", "priority", "run_id", "bin")
 
 
 @query("WITH n AS (SELECT count(DISTINCT o_orderstatus) AS n FROM orders), c AS (SELECT o_custkey FROM orders, n GROUP BY o_custkey, n HAVING count(DISTINCT o_orderstatus) = n) SELECT o_orderkey AS run_id, o_custkey AS path, o_orderstatus AS configuration FROM orders WHERE o_custkey IN (SELECT o_custkey FROM c)")
@@ -149,10 +151,8 @@ def percent_per_subset(spark, sf_dir):
 
 @query(f"WITH {RUNS_SQL} SELECT dataset, round(quantile_cont(rate, 0.25), 4) AS q1, round(quantile_cont(rate, 0.5), 4) AS q2, round(quantile_cont(rate, 0.75), 4) AS q3, round(min(rate), 4) AS least, round(max(rate), 4) AS most FROM runs GROUP BY dataset")
 def box_stats(spark, sf_dir):
-    rows = runs(spark, sf_dir)
-    ends = rows.groupBy("dataset").agg(F.round(F.min("rate"), 4).alias("least"), F.round(F.max("rate"), 4).alias("most"))
-    found = quantiles(rows, "dataset", "rate", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    return found.join(ends, "dataset").select("dataset", *(F.round(q, 4).alias(q) for q in ("q1", "q2", "q3")), "least", "most")
+    found = quantiles(runs(spark, sf_dir), "dataset", "rate", {"least": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "most": 1.0})
+    return found.select("dataset", *(F.round(q, 4).alias(q) for q in ("q1", "q2", "q3", "least", "most")))
 
 
 @query("SELECT o_orderkey AS run_id, 'priority:' || o_orderpriority[3:] || '-status:' || o_orderstatus || '-key:' || o_custkey AS params, sha256('priority:' || o_orderpriority[3:] || '-status:' || o_orderstatus || '-key:' || o_custkey) AS params_hash FROM orders")

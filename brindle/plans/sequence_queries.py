@@ -100,12 +100,12 @@ def stratified_split(spark, sf_dir):
     return ranked.select("doc_id", "quality", F.when((F.col("before") + F.col("r")) / F.col("n") < 0.8, "train").otherwise("test").alias("split"))
 
 
-@query(f"WITH {MONO_SQL}, f AS (SELECT *, n // 16 AS frame, n % 16 AS i FROM wave), s AS (SELECT *, avg(abs(x)) FILTER (i < 12) OVER (PARTITION BY track_id, frame) AS scale FROM f) SELECT track_id, n, round(x / scale, 6) AS normalized, round(x / scale * scale, 3) AS back FROM (SELECT * REPLACE (nullif(scale, 0) AS scale) FROM s)")
+@query(f"WITH {MONO_SQL}, f AS (SELECT *, n // 16 AS frame, n % 16 AS i FROM wave), s AS (SELECT *, avg(abs(x)) FILTER (i < 12) OVER (PARTITION BY track_id, frame) AS scale FROM f) SELECT track_id, n, round(x / scale, 6) AS normalized, round(round(x / scale, 6) * scale, 1) AS back FROM (SELECT * REPLACE (nullif(scale, 0) AS scale) FROM s)")
 def horizon_normalize(spark, sf_dir):
     """Scales each frame by the mean magnitude of its context (its first twelve samples); null where that is zero."""
     frame = Window.partitionBy("track_id", F.expr("n div 16"))
     rows = wave_mono(spark, sf_dir).withColumn("scale", F.avg(F.when(F.col("n") % 16 < 12, F.abs("x"))).over(frame)).withColumn("scale", F.nullif("scale", F.lit(0.0)))
-    return rows.select("track_id", "n", F.round(F.col("x") / F.col("scale"), 6).alias("normalized"), F.round(F.col("x") / F.col("scale") * F.col("scale"), 3).alias("back"))
+    return rows.select("track_id", "n", F.round(F.col("x") / F.col("scale"), 6).alias("normalized"), F.round(F.round(F.col("x") / F.col("scale"), 6) * F.col("scale"), 1).alias("back"))
 
 
 #: A window is closed once the watermark (the latest event less an hour) has reached its end.

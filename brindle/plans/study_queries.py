@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.quant import zigzag
 from ..operators.frames import stereo_schemes
 from ..operators.numbering import with_neighbours
+from ..session import kept
 from ..sources.views import FLOAT_SQL, MONO_SQL, RUNS_SQL, STEREO_SQL, runs, table, wave_float, wave_mono, wave_stereo
 from .registry import query
 
@@ -68,6 +69,7 @@ def comparison_report(spark, sf_dir):
     """The latest result of each path and configuration, over the paths that all configurations have, with the best marked."""
     key = ["dataset", "priority", "status"]
     latest = runs(spark, sf_dir).groupBy(*key).agg(F.max_by(F.round(F.col("rate") * 100).cast("long"), F.struct("ts", "run_id")).alias("cents"))
+    latest = kept(latest, "latest")
     common = latest.groupBy("dataset", "priority").agg(F.count(F.lit(1)).alias("c")).join(latest.agg(F.count_distinct("status").alias("n")), F.col("c") == F.col("n")).select("dataset", "priority")
     means = latest.join(common, ["dataset", "priority"], "left_semi").groupBy("dataset", "status").agg(F.expr("sum(cents) div count(1)").alias("mean"), F.count(F.lit(1)).alias("n"))
     return means.withColumn("best", F.col("mean") == F.max("mean").over(Window.partitionBy("dataset")))

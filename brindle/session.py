@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -48,6 +48,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: for what several parts of a plan read, so that it is computed once."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_at_end(spark: SparkSession, path: str) -> None:
     """Has the application remove a path of the shared folder when it ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
