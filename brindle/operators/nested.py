@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 DEEPEST = 500
 
 
-def _unwrapped(v: str) -> str:
+def _wraps(v: str) -> str:
     """An object whose only key is `value` stands for what that holds (configurations are exported so)."""
-    return f"CASE WHEN json_object_keys(to_json({v})) = array('value') THEN variant_get({v}, '$.value', 'variant') ELSE {v} END"
+    return f"coalesce(json_object_keys(to_json({v})) = array('value'), false)"
 
 
 def walked(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -23,13 +23,15 @@ def walked(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     spark = rows.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # a walk has as many rows as there are keys
     source = rows.selectExpr(f"`{id_col}` AS id", f"try_parse_json(`{json_col}`) AS v")
+    # what a wrapper holds takes its place: its depth, path and key
     query = f"""
-    WITH RECURSIVE walk(id, depth, path, key, value) MAX RECURSION LEVEL {DEEPEST} AS (
-      SELECT id, 0, '$', CAST(NULL AS STRING), {_unwrapped('v')} FROM {{source}}
+    WITH RECURSIVE walk(id, depth, path, key, value, wraps) MAX RECURSION LEVEL {DEEPEST} AS (
+      SELECT id, 0, '$', CAST(NULL AS STRING), v, {_wraps('v')} FROM {{source}}
       UNION ALL
-      SELECT walk.id, walk.depth + 1, concat(walk.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))), e.key, {_unwrapped('e.value')}
+      SELECT walk.id, walk.depth + int(NOT wraps), CASE WHEN wraps THEN walk.path ELSE concat(walk.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))) END,
+             CASE WHEN wraps THEN walk.key ELSE e.key END, e.value, {_wraps('e.value')}
       FROM walk, LATERAL variant_explode(walk.value) e)
-    SELECT id, depth, path, key, value FROM walk"""
+    SELECT id, depth, path, key, value FROM walk WHERE NOT wraps"""
     return spark.sql(query, source=source)
 
 
