@@ -37,8 +37,12 @@ ROWS, ANCHORS, CUTS, FEWEST = 1 << 16, 2048, 16, 1024
 #: Shares of the components that bounds are computed from.
 LEAD = (0.25, 0.5)
 SAMPLE = 16384
+#: The longest vectors that are rotated, and how many lengths (the commonest) are: rotations go with every task.
+WIDEST, LENGTHS = 1024, 4
 #: Rows and anchors that are multiplied at a time.
 CHUNK = (4096, 256)
+#: Pairs whose rows are laid side by side at a time.
+PAIRS = 1 << 15
 K, POSITIVES, LEAST = 5, 5, 80
 NEVER = np.iinfo(np.int64).max
 
@@ -60,20 +64,21 @@ def rotation(sample: np.ndarray) -> np.ndarray:
 class Turned:
     """Integer rows, their leading components after the rotation, and the norms of what is left."""
 
-    def __init__(self, whole: np.ndarray, axes: np.ndarray):
+    def __init__(self, whole: np.ndarray, axes: np.ndarray | None):
         n = whole.shape[1]
         self.whole, self.cuts = whole, [max(1, min(n, round(n * share))) for share in LEAD] if n else [0, 0]
         doubles = whole.astype(np.float64)
-        self.lead = doubles @ axes[:, : self.cuts[1]]
+        self.lead = doubles[:, : self.cuts[1]] if axes is None else doubles @ axes[:, : self.cuts[1]]
         energy = (doubles * doubles).sum(1)
         self.norm = np.sqrt(energy)
         # what is left is at most this, whatever rounding did to the difference
         self.rest = [np.sqrt(np.maximum(energy - (self.lead[:, :c] ** 2).sum(1), 0) + 1e-9 * energy) for c in self.cuts]
 
 
-def slack(axes: np.ndarray) -> float:
+def slack(axes: np.ndarray | None, n: int) -> float:
     """A bound on the rounding error of a partial product, as a share of the product of the two norms."""
-    n = len(axes)
+    if axes is None:
+        return float(16 * (n + 1) * np.finfo(float).eps)
     return float(np.abs(axes.T @ axes - np.eye(n)).sum(axis=1).max(initial=0) * 2 + 16 * (n + 1) * np.finfo(float).eps)
 
 
@@ -108,12 +113,15 @@ def survivors(anchors: Turned, rows: Turned, some: np.ndarray, many: slice, leas
     part = anchors.lead[some, :first] @ rows.lead[many, :first].T
     room = anchors.rest[0][some, None] * rows.rest[0][None, many] + norms
     i, j = np.nonzero(valid & (part + room >= least[:, None]) & (part - room <= most[:, None]))
-    a, r = some[i], j + many.start
-    part = part[i, j] + np.einsum("ij,ij->i", anchors.lead[a, first:second], rows.lead[r, first:second])
-    room = anchors.rest[1][a] * rows.rest[1][r] + norms[i, j]
-    stay = (part + room >= least[i]) & (part - room <= most[i])
-    i, a, r = i[stay], a[stay], r[stay]
-    return i, r, products(anchors.whole[a], rows.whole[r])
+    partial, found = part[i, j], []
+    for at in range(0, len(i), PAIRS):  # rows side by side take far more than the matrix of their products
+        n, k = i[at : at + PAIRS], j[at : at + PAIRS]
+        a, r = some[n], k + many.start
+        more = partial[at : at + PAIRS] + np.einsum("ij,ij->i", anchors.lead[a, first:second], rows.lead[r, first:second])
+        room = anchors.rest[1][a] * rows.rest[1][r] + norms[n, k]
+        stay = (more + room >= least[n]) & (more - room <= most[n])
+        found.append((n[stay], r[stay], products(anchors.whole[a[stay]], rows.whole[r[stay]])))
+    return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -124,7 +132,7 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 def _group(table: pa.Table, axes: dict[int, np.ndarray]) -> tuple:
     """The anchors and the rows of a group: their numbers, ids, labels and Turned; rank of rows by id; axes' error."""
     n = table.column("n")[0].as_py()
-    turn = axes.get(n, np.eye(n))
+    turn = axes.get(n)
     out = []
     for want in (True, False):
         part = table.filter(pa.compute.equal(table.column("is_anchor"), want))
@@ -133,7 +141,7 @@ def _group(table: pa.Table, axes: dict[int, np.ndarray]) -> tuple:
     named, plain = pa.compute.is_valid(ids).to_numpy(), pa.compute.fill_null(ids, 0).to_numpy()
     rank = np.empty(len(plain), np.int64)
     rank[np.lexsort((out[5], plain, ~named))] = np.arange(len(plain))
-    return *out, rank, slack(turn)
+    return *out, rank, slack(turn, n)
 
 
 def _spread(rows: DataFrame, anchors: DataFrame, by: list[str], total: int) -> DataFrame:
@@ -226,12 +234,12 @@ def hard_negatives(rows: DataFrame, k: int = K, positives: int = POSITIVES, leas
     ship(spark)
     numbered = rows.where("q is not null and label is not null").select("id", F.col("label").cast("long").alias("label"), "q", F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"), F.size("q").alias("n"))
     table = staged(numbered.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    counts = {r.n: r.c for r in table.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(64).collect()}
+    counts = {r.n: r.c for r in table.groupBy("n").agg(F.count(F.lit(1)).alias("c")).where(F.col("n").between(1, WIDEST)).orderBy(F.desc("c"), "n").limit(LENGTHS).collect()}
     axes = {}
-    for n, count in counts.items():  # lengths beyond the 64 commonest aren't rotated
+    for n, count in counts.items():  # vectors of other lengths are compared by their components as they are
         share = min(1.0, SAMPLE / count)
         sample = table.where((F.col("n") == n) & (F.pmod(F.xxhash64("q", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))).limit(2 * SAMPLE).select("q").toArrow()
-        if n and len(sample):
+        if len(sample):
             axes[n] = rotation(_matrix(sample.column("q"), n).astype(np.float64))
     total = table.count()
     found = staged(first_of_label(table, axes, total, positives), "positives")

@@ -187,8 +187,10 @@ def odd_vectors():
     return [(i, None if v is None else [None if x is None else float(x) for x in v], y) for i, v, y in rows]
 
 
-@pytest.mark.parametrize("fewest, anchors, chunk", [(negatives.FEWEST, negatives.ANCHORS, negatives.CHUNK), (40, 3, (16, 2))])
-def test_negatives_against_python(spark, monkeypatch, fewest, anchors, chunk):
+@pytest.mark.parametrize("fewest, anchors, chunk, widest", [(negatives.FEWEST, negatives.ANCHORS, negatives.CHUNK, 1024), (40, 3, (16, 2), 1024), (40, 3, (16, 2), 0)])
+def test_negatives_against_python(spark, monkeypatch, fewest, anchors, chunk, widest):
+    monkeypatch.setattr(negatives, "WIDEST", widest)
+    monkeypatch.setattr(negatives, "PAIRS", 50)
     monkeypatch.setattr(negatives, "FEWEST", fewest)
     monkeypatch.setattr(negatives, "ANCHORS", anchors)
     monkeypatch.setattr(negatives, "CHUNK", chunk)
@@ -207,11 +209,11 @@ def test_bounds_discard_most_pairs_and_no_fitting_one():
     base = rng.normal(size=(400, 8)) @ rng.normal(size=(8, 64)) * 20 + rng.normal(size=(400, 64))
     whole = np.floor(base).astype(np.int32)
     axes = negatives.rotation(whole.astype(float))
-    assert negatives.slack(axes) < 1e-10
+    assert negatives.slack(axes, 64) < 1e-10
     turned = negatives.Turned(whole, axes)
     exact = whole.astype(np.int64) @ whole.T.astype(np.int64)
     least = np.quantile(exact, 0.95, axis=1).astype(np.int64)
     some = np.arange(400)
-    i, r, score = negatives.survivors(turned, turned, some, slice(0, 400), least, np.full(400, negatives.NEVER), np.ones((400, 400), bool), negatives.slack(axes))
+    i, r, score = negatives.survivors(turned, turned, some, slice(0, 400), least, np.full(400, negatives.NEVER), np.ones((400, 400), bool), negatives.slack(axes, 64))
     assert (score == exact[i, r]).all()
     assert set(zip(*np.nonzero(exact >= least[:, None]))) <= set(zip(i, r)) and len(i) < 0.2 * exact.size
