@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import kept
-
 BINS = 4096
 
 
@@ -25,7 +23,7 @@ def ranked_values(counts: DataFrame, key: str, value: str, n: str) -> DataFrame:
 
 def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """key and a column for each share: the exact quantile, between two values in proportion. Null values don't count."""
-    counts = kept(rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")), "counts")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))  # its exchange is reused
     totals = counts.groupBy(key).agg(F.sum("_c").alias("_total"))
     at = ranked_values(counts, key, value, "_c").join(totals, key)
     spot = lambda q: q * (F.col("_total") - 1)
