@@ -12,10 +12,20 @@ SHIFT = 10
 
 
 def autocorrelation(xs: Column, most: int) -> Column:
-    """The sums of x[i] x[i - j] for j from 0 to most, zero where a list is no longer than j."""
-    size = F.size(xs)
-    behind = lambda j: F.zip_with(F.slice(xs, j + 1, F.greatest(size - j, F.lit(0))), F.slice(xs, F.lit(1), F.greatest(size - j, F.lit(0))), lambda a, b: a * b)
-    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda j: F.aggregate(behind(j), F.lit(0).cast("long"), lambda s, t: s + t))
+    """The sums of x[i] x[i - j] for j from 0 to most, zero where a list is no longer than j.
+
+    Samples so large that a sum might pass 62 bits are shifted right first, all of a list alike: weights don't depend on scale.
+    """
+    peak = F.greatest(F.array_max(xs).cast("double"), -F.array_min(xs).cast("double"))
+    excess = F.ceil(F.log2(peak + 1)) + F.ceil((F.log2(F.size(xs).cast("double")) - 62) / 2)
+    fitting = F.when(excess > 0, F.transform(xs, lambda x: F.floor(x / F.pow(F.lit(2.0), excess)).cast("long"))).otherwise(xs)
+
+    def lags(x: Column) -> Column:
+        size = F.size(x)
+        behind = lambda j: F.zip_with(F.slice(x, j + 1, F.greatest(size - j, F.lit(0))), F.slice(x, F.lit(1), F.greatest(size - j, F.lit(0))), lambda a, b: a * b)
+        return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda j: F.aggregate(behind(j), F.lit(0).cast("long"), lambda s, t: s + t))
+
+    return F.transform(F.array(fitting), lags)[0]
 
 
 def levinson(lags: Column, most: int) -> Column:

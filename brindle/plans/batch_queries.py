@@ -99,12 +99,12 @@ def truncate_bos_eos(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.concat(F.array(F.lit("<s>")), cut, F.array(F.lit("</s>"))), " ").alias("tokens"), (F.size(cut) + 2).cast("long").alias("n"))
 
 
-@query(f"WITH {TURNS_SQL}, t AS (SELECT conv_id, turn, [length(w) FOR w IN words] AS v FROM turns WHERE len(words) > 0) SELECT conv_id, turn, array_to_string((v || [0 FOR i IN range(12)])[1:12], ' ') AS batch, array_to_string((v || [v[-1] FOR i IN range(12)])[1:12], ' ') AS held FROM t")
+@query(f"WITH {TURNS_SQL}, t AS (SELECT conv_id, turn, [length(w) FOR w IN words] AS v FROM turns) SELECT conv_id, turn, array_to_string((v || [0 FOR i IN range(12)])[1:12], ' ') AS batch, array_to_string((v || [coalesce(v[-1], 0) FOR i IN range(12)])[1:12], ' ') AS held FROM t")
 def pad_or_truncate(spark, sf_dir):
-    """Lists of exactly twelve: cut, or filled with zeros, or with their last value."""
-    rows = turns(spark, sf_dir).where(F.size("words") > 0).select("conv_id", "turn", F.transform("words", F.char_length).alias("v"))
+    """Lists of exactly twelve: cut, or filled with zeros, or with their last value (zero where a list is empty)."""
+    rows = turns(spark, sf_dir).select("conv_id", "turn", F.transform("words", F.char_length).alias("v"))
     shown = lambda fill: F.array_join(F.slice(F.concat("v", F.array_repeat(fill, 12)), 1, 12).cast("array<string>"), " ")
-    return rows.select("conv_id", "turn", shown(F.lit(0)).alias("batch"), shown(F.element_at("v", -1)).alias("held"))
+    return rows.select("conv_id", "turn", shown(F.lit(0)).alias("batch"), shown(F.coalesce(F.try_element_at("v", F.lit(-1)), F.lit(0))).alias("held"))
 
 
 @query(f"WITH {MONO_SQL}, s AS (SELECT track_id, avg(x) AS mean, stddev_pop(x) AS deviation FROM wave GROUP BY ALL), z AS (SELECT wave.track_id, n, x, (x - mean) / deviation AS z FROM wave JOIN s USING (track_id) WHERE deviation > 0), f AS (SELECT *, lag(z) OVER (PARTITION BY track_id ORDER BY n) AS forecast FROM z) SELECT f.track_id, round(avg(abs(z - forecast) * deviation), 3) AS mae, round(avg(abs(x - (forecast * deviation + mean))), 3) AS back FROM f JOIN s USING (track_id) WHERE forecast IS NOT NULL GROUP BY f.track_id")

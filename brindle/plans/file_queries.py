@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from ..sources.files import append_csv, files_below, read_csv, read_ts, to_ts_lines, union_of_globs, write_chunks
-from ..sources.views import MONO_SQL, RUNS_SQL, runs, table, wave_mono
+from ..sources.views import HISTORY_SQL, MONO_SQL, RUNS_SQL, history, runs, table, wave_mono
 from .registry import query
 
 
@@ -116,6 +116,20 @@ def tracker_export(spark, sf_dir):
     return back.where("state is not null").select("run_id", F.col("config.dataset.value").alias("dataset"), F.col("config.model.priority.value").alias("priority"), (F.col("state") == "finished").alias("finished"), F.round(8 / F.col("summary.bpb"), 6).alias("rate"), F.round("summary.size", 2).alias("size"))
 
 
+@query(f"WITH {HISTORY_SQL}, m AS (SELECT run_id, step, unnest(['train/loss', 'val/loss']) AS metric, unnest([v, CASE WHEN step % 2 = 1 THEN 2 * v END]) AS v FROM history) SELECT run_id, metric, count(*) AS steps, CAST(arg_min(step, round(v * 100) * 1000000 + step) AS BIGINT) AS best_step, round(min(v), 2) AS best, CAST(max(step) AS BIGINT) AS last_step, round(arg_max(v, step), 2) AS last FROM m WHERE v IS NOT NULL GROUP BY ALL")
+def tracker_history(spark, sf_dir):
+    """The metric histories of runs as a tracker exports them (a line a step, metrics logged now and then), read back by
+    metric: the steps that have it, its least value and its last one."""
+    path = fresh_path(spark, "histories")
+    logged = F.create_map(F.lit("train/loss"), F.col("v"), F.lit("val/loss"), F.when(F.col("step") % 2 == 1, 2 * F.col("v")))
+    history(spark, sf_dir).select("run_id", F.col("step").alias("_step"), logged.alias("metrics")).write.json(path)
+    lines = spark.read.schema("run_id bigint, _step bigint, metrics map<string,double>").json(path)
+    rows = lines.select("run_id", F.col("_step").alias("step"), F.explode("metrics").alias("metric", "v")).where("v is not null")
+    least = F.min(F.struct(F.round(F.col("v") * 100).alias("cents"), "step", "v")).alias("least")
+    found = rows.groupBy("run_id", "metric").agg(F.count(F.lit(1)).alias("steps"), least, F.min("v").alias("best"), F.max(F.struct("step", "v")).alias("last"))
+    return found.select("run_id", "metric", "steps", F.col("least.step").alias("best_step"), F.round("best", 2).alias("best"), F.col("last.step").alias("last_step"), F.round("last.v", 2).alias("last"))
+
+
 @query("SELECT conv_id // 16 AS chunk, role, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, min(conv_id) AS first FROM conversations GROUP BY ALL")
 def jsonl_sink_merge(spark, sf_dir):
     """Inferences as JSON lines in a folder a chunk, merged once all chunks are committed."""

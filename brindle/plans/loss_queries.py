@@ -100,6 +100,20 @@ def distribution_scores(spark, sf_dir):
     return each.agg(F.avg("h").alias("h"), F.avg("d").alias("d")).crossJoin(kl).select(F.round(F.col("kl") + F.col("h"), 6).alias("am"), F.round(F.exp("d"), 6).alias("inception"))
 
 
+@query(f"WITH {LOGITS_SQL}, p AS (SELECT vec_id, label, c, z - lse AS l FROM scored), k AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, sum(exp(a.l) * (a.l - b.l)) AS kl FROM p a JOIN p b ON a.label = b.label AND a.c = b.c GROUP BY ALL), m AS (SELECT label, count(*) AS pairs, exp(avg(kl)) AS score FROM k GROUP BY label), q AS (SELECT label, c, avg(exp(l)) AS q FROM p GROUP BY ALL), h AS (SELECT p.label, vec_id, sum(exp(l) * (l - ln(q))) AS kl FROM p JOIN q ON p.label = q.label AND p.c = q.c GROUP BY ALL), i AS (SELECT label, exp(avg(kl)) AS score FROM h GROUP BY label) SELECT m.label, pairs, round(m.score, 6) AS modified_inception, round(i.score, 6) AS inception FROM m JOIN i USING (label)")
+def modified_inception(spark, sf_dir):
+    """The inception score within each label, and the modified one: over all ordered pairs of its vectors, exactly.
+
+    The mean divergence of all pairs is linear in the first's probabilities and in the second's logarithms, so it is made of
+    means by class; no pair is formed.
+    """
+    rows = ranked(spark, sf_dir).withColumn("l", F.col("z") - F.col("lse")).withColumn("p", F.exp("l"))
+    means = rows.groupBy("label", "c").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("p") * F.col("l")).alias("own"), F.avg("p").alias("p"), F.avg("l").alias("l"))
+    score = lambda other: F.round(F.exp(F.sum(F.col("own") - F.col("p") * other)), 6)
+    pairs = (F.max("n") * F.max("n")).alias("pairs")
+    return means.groupBy("label").agg(pairs, score(F.col("l")).alias("modified_inception"), score(F.log("p")).alias("inception"))
+
+
 @query(f"WITH {LOGITS_SQL}, b AS (SELECT vec_id, z, CASE WHEN label % 2 = c % 2 THEN 1 ELSE 0 END AS y, exp(z - lse) AS p, CASE WHEN c = label THEN 0.7 ELSE 0.3 / 9 END AS soft, lse FROM scored) SELECT round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 6) AS bce, round(avg(((z > 0)::INT = y)::INT), 6) AS accuracy, round(sum(soft * (lse - z)) / count(DISTINCT vec_id), 6) AS soft_ce, round(count(*) FILTER (z > 0 AND y = 1) / count(*) FILTER (z > 0 OR y = 1), 6) AS iou FROM b")
 def binary_losses(spark, sf_dir):
     """Binary cross-entropy and accuracy from logits, cross-entropy with soft targets, intersection over union."""

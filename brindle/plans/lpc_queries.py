@@ -34,12 +34,19 @@ def order_sizes(frames: DataFrame, orders: range) -> DataFrame:
     some = F.transform("orders", lambda o: F.struct(F.size(o["a"]).alias("m"), integer_weights(o["a"]).alias("weights")))
     spread = solved.select("track_id", "frame", "xs", F.explode(F.concat(F.array(none), some)).alias("o")).select("track_id", "frame", "xs", "o.*")
     spread = spread.where((F.col("m") >= min(orders)) & (F.col("m") < F.size("xs")))
-    coded = spread.select("track_id", "frame", F.col("m").cast("long").alias("m"), "weights", residuals(F.col("xs"), F.col("weights")).alias("z"))
+    coded = rice_coded(spread.select("track_id", "frame", F.col("m").cast("long").alias("m"), "weights", "xs"))
+    return coded.select("track_id", "frame", "m", "weights", (F.col("m") * (SAMPLE_BITS + WEIGHT_BITS) + F.col("bits")).alias("bits"))
+
+
+def rice_coded(candidates: DataFrame) -> DataFrame:
+    """candidates with bits in place of xs: the residuals that weights leave of xs, in Rice codes of the parameter that their mean gives."""
+    others = [c for c in candidates.columns if c != "xs"]
+    coded = candidates.select(*others, residuals(F.col("xs"), F.col("weights")).alias("z"))
     total = F.aggregate("z", F.lit(0).cast("long"), lambda s, z: s + z)
     coded = coded.withColumn("count", F.size("z").cast("long")).withColumn("k", rice_k(total / F.size("z")).cast("int"))
     # quotients by a power of two, which is what the shift by a column is
     quotients = F.aggregate(F.expr("transform(z, v -> shiftright(v, k))"), F.lit(0).cast("long"), lambda s, q: s + q)
-    return coded.select("track_id", "frame", "m", "weights", (F.col("m") * (SAMPLE_BITS + WEIGHT_BITS) + quotients + F.col("count") * (1 + F.col("k"))).alias("bits"))
+    return coded.select(*others, (quotients + F.col("count") * (1 + F.col("k"))).alias("bits"))
 
 
 def _levinson_sql(wave: str, x: str, size: int, most: int) -> str:
@@ -86,3 +93,56 @@ def lpc_sizes_by_order(spark, sf_dir):
     chosen = frames.groupBy("track_id").agg(F.sum("least").alias("chosen"))
     each = frames.select("track_id", F.explode("s").alias("s")).groupBy("track_id", F.col("s.m").alias("m")).agg(F.sum("s.bits").alias("bits"))
     return each.join(chosen, "track_id").select("track_id", "m", "bits", "chosen", F.round(F.col("bits") / F.col("chosen"), 6).alias("over"))
+
+
+#: Bits of a subframe's type and order, and of its Rice parameter.
+TYPE_BITS, RICE_BITS, MOST_TAPS = 8, 8, 8
+# Binomial coefficients with alternating signs, the weights of the polynomial predictors.
+FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+_FIXED_SQL = ", ".join(f"({m}, [{', '.join(str(w << SHIFT) for w in weights)}]::BIGINT[])" for m, weights in enumerate(FIXED))
+_SUBFRAMES_SQL = f"""WITH RECURSIVE {_levinson_sql(MONO_SQL, 'x', 64, MOST_TAPS)},
+    w AS (SELECT track_id, frame, xs, 'lpc' AS kind, m, m * {SAMPLE_BITS + WEIGHT_BITS} AS head, list_transform(a, lambda w: CAST(floor(w * {1 << SHIFT} + 0.5) AS BIGINT)) AS w FROM lev WHERE m > 0 AND m < len(xs)
+      UNION ALL SELECT track_id, frame, xs, 'fixed', f.m, f.m * {SAMPLE_BITS}, f.w FROM r, (VALUES {_FIXED_SQL}) f(m, w) WHERE f.m < len(xs)),
+    e AS (SELECT track_id, frame, kind, m, head, xs, w, unnest(range(m, len(xs))) AS n FROM w),
+    d AS (SELECT track_id, frame, kind, m, head, xs[n + 1] - (coalesce(CAST(list_sum(list_transform(range(1, m + 1), lambda j: w[j] * xs[n - j + 1])) AS BIGINT), 0) >> {SHIFT}) AS e FROM e),
+    z AS (SELECT track_id, frame, kind, m, head, CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END AS z FROM d),
+    k AS (SELECT track_id, frame, kind, m, sum(z) / count(*) AS mean FROM z GROUP BY ALL), kk AS (SELECT *, {RICE_K_SQL} AS k FROM k),
+    b AS (SELECT track_id, frame, kind, m, CAST({TYPE_BITS + RICE_BITS} + any_value(head) + sum((z >> k) + 1 + k) AS BIGINT) AS bits FROM z JOIN kk USING (track_id, frame, kind, m) GROUP BY track_id, frame, kind, m
+      UNION ALL SELECT track_id, frame, 'verbatim', 0, {TYPE_BITS} + {SAMPLE_BITS} * len(xs) FROM r
+      UNION ALL SELECT track_id, frame, 'constant', 0, {TYPE_BITS + SAMPLE_BITS} FROM r WHERE list_min(xs) = list_max(xs))"""
+
+
+def subframe_sizes(frames: DataFrame) -> DataFrame:
+    """track_id, frame, kind, m, bits: the exact size of a frame as each type of subframe that can hold it.
+
+    A constant is one sample, verbatim samples are stored whole; fixed predictors store their warm-up, linear prediction
+    its weights too, and both store their residuals in Rice codes. All candidates of a frame come from its one row.
+    """
+    solved = frames.withColumn("orders", levinson(autocorrelation(F.col("xs"), MOST_TAPS), MOST_TAPS))
+    fixed = [F.struct(F.lit("fixed").alias("kind"), F.array(*(F.lit(w << SHIFT).cast("long") for w in weights)).cast("array<bigint>").alias("weights"), F.lit(SAMPLE_BITS).alias("each")) for weights in FIXED]
+    linear = F.transform("orders", lambda o: F.struct(F.lit("lpc").alias("kind"), integer_weights(o["a"]).alias("weights"), F.lit(SAMPLE_BITS + WEIGHT_BITS).alias("each")))
+    spread = solved.select("track_id", "frame", "xs", F.explode(F.concat(F.array(*fixed), linear)).alias("o")).select("track_id", "frame", "xs", "o.*").withColumn("m", F.size("weights").cast("long"))
+    predicted = rice_coded(spread.where(F.col("m") < F.size("xs"))).select("track_id", "frame", "kind", "m", (TYPE_BITS + RICE_BITS + F.col("m") * F.col("each") + F.col("bits")).alias("bits"))
+    stored = F.array(
+        F.struct(F.lit("verbatim").alias("kind"), F.lit(0).cast("long").alias("m"), (TYPE_BITS + SAMPLE_BITS * F.size("xs")).cast("long").alias("bits")),
+        F.struct(F.when(F.array_min("xs") == F.array_max("xs"), "constant").alias("kind"), F.lit(0).cast("long").alias("m"), F.lit(TYPE_BITS + SAMPLE_BITS).cast("long").alias("bits")),
+    )
+    return predicted.unionByName(frames.select("track_id", "frame", F.explode(stored).alias("o")).select("track_id", "frame", "o.*").where("kind is not null"))
+
+
+@query(f"{_SUBFRAMES_SQL} SELECT track_id, frame, kind, CAST(m AS BIGINT) AS m, bits FROM b QUALIFY row_number() OVER (PARTITION BY track_id, frame ORDER BY bits, kind, m) = 1")
+def subframe_choice(spark, sf_dir):
+    """The type of subframe that holds each frame in the fewest bits: constant, fixed, linear prediction or verbatim."""
+    sizes = subframe_sizes(frame_arrays(wave_mono(spark, sf_dir), 64))
+    best = sizes.groupBy("track_id", "frame").agg(F.min(F.struct("bits", "kind", "m")).alias("b"))
+    return best.select("track_id", "frame", "b.kind", "b.m", "b.bits")
+
+
+@query(f"{_SUBFRAMES_SQL}, s AS (SELECT track_id, frame, kind, min(bits) AS bits FROM b GROUP BY ALL), v AS (SELECT track_id, frame, bits AS raw FROM s WHERE kind = 'verbatim'), t AS (SELECT track_id, frame, kind, least(bits, raw) AS bits, raw, min(bits) OVER (PARTITION BY track_id, frame) AS least FROM s JOIN v USING (track_id, frame)) SELECT kind, count(*) AS frames, CAST(sum(bits) AS BIGINT) AS bits, round(sum(bits) / sum(raw), 6) AS share, count(*) FILTER (bits = least) AS wins FROM t GROUP BY kind")
+def sizes_by_subframe_type(spark, sf_dir):
+    """What the frames that a type can hold take with it (verbatim where that is less), and in how many it is the smallest."""
+    sizes = subframe_sizes(frame_arrays(wave_mono(spark, sf_dir), 64)).groupBy("track_id", "frame", "kind").agg(F.min("bits").alias("bits"))
+    # a frame's types are four at most: one array holds them
+    frames = sizes.groupBy("track_id", "frame").agg(F.collect_list(F.struct("kind", "bits")).alias("s"), F.min("bits").alias("least"), F.max(F.when(F.col("kind") == "verbatim", F.col("bits"))).alias("raw"))
+    each = frames.select("least", "raw", F.explode("s").alias("s")).select("least", "raw", F.col("s.kind").alias("kind"), F.least("s.bits", "raw").alias("bits"))
+    return each.groupBy("kind").agg(F.count(F.lit(1)).alias("frames"), F.sum("bits").alias("bits"), F.round(F.sum("bits") / F.sum("raw"), 6).alias("share"), F.count_if(F.col("bits") == F.col("least")).alias("wins"))

@@ -128,3 +128,28 @@ def test_likelihoods(spark):
     level, lit = F.col("id"), F.lit
     nll = logistic_mixture_nll(level, 256, [lit(0.3), lit(-0.2)], [lit(-1.2), lit(0.4)], [lit(0.01), lit(0.3)])
     assert spark.range(256).select(F.sum(F.exp(-nll)).alias("p")).first().p == pytest.approx(1.0, abs=1e-9)
+
+
+def test_subframes_by_the_shape_of_their_samples(spark):
+    from brindle.plans.lpc_queries import subframe_sizes
+
+    def bits(z):  # the definition: the parameter from the mean, a unary quotient with its end mark, and the rest
+        from brindle.functions.entropy import PHI
+
+        mean = sum(z) / len(z)
+        k = 0 if mean < PHI else 1 + int(math.log2(math.log(PHI - 1) / math.log(mean / (mean + 1))))
+        return sum((v >> k) + 1 + k for v in z)
+
+    flat, ramp = [7] * 32, [5 * n + 3 for n in range(32)]
+    noise = np.random.default_rng(5).integers(-(1 << 31), 1 << 31, 32).tolist()  # its lag sums pass 64 bits unless shifted
+    rows = [(0, 0, flat), (0, 1, ramp), (0, 2, noise), (0, 3, [9]), (0, 4, [1, -4])]
+    found = subframe_sizes(spark.createDataFrame(rows, "track_id long, frame long, xs array<bigint>")).collect()
+    least = {f: min((r.bits, r.kind, r.m) for r in found if r.frame == f) for f in range(5)}
+    assert least[0] == (40, "constant", 0)
+    assert least[1] == (16 + 2 * 32 + 30, "fixed", 2)  # residuals of a ramp are zero: a bit each
+    assert least[2] == (8 + 32 * 32, "verbatim", 0)
+    assert least[3][1] in ("constant", "fixed") and not any(r.m > 0 for r in found if r.frame == 3)
+    assert {(r.kind, r.m) for r in found if r.frame == 4} >= {("fixed", 0), ("fixed", 1), ("lpc", 1), ("verbatim", 0)}
+    first = {r.m: r.bits for r in found if r.frame == 2 and r.kind == "fixed"}
+    steps = [b - a for a, b in zip(noise, noise[1:])]
+    assert first[1] == 16 + 32 + bits([2 * e if e >= 0 else -2 * e - 1 for e in steps])
