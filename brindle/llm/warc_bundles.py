@@ -20,7 +20,7 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -29,6 +29,8 @@ from .zstd_frames import FrameReader, FrameWriter
 
 FRAME_BYTES = 1 << 18
 MIN_REVISIT = 100
+#: Bits of the sketch of revisits: 16 MB where it is broadcast.
+SKETCH_BITS = 27
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,9 +95,30 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     revisits = hot_join(named, repeated, "digest", "n", total).where(~F.col("id").eqNullSafe(F.col("first_id"))).select(F.col("id").alias("i"), F.col("digest").alias("d"), "first_id").distinct()
     revisits = staged(revisits, "revisits")
-    found = large.join(revisits, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
+    large = marked(large, sketch_of(revisits.select(bit_of(F.col("i"), F.col("d")).alias("bit"))))
+    found = large.where("maybe").join(revisits, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
     found = found.select("id", "url", "payload", "digest", F.col("first_id").alias("refers_to"), F.col("first_id").isNotNull().alias("revisit"))
-    return found.union(small.select("id", "url", "payload", "digest", F.lit(None).cast("long"), F.lit(False)))
+    rest = large.where("not maybe").drop("maybe").unionByName(small)
+    return found.union(rest.select("id", "url", "payload", "digest", F.lit(None).cast("long"), F.lit(False)))
+
+
+def bit_of(id: Column, digest: Column) -> Column:
+    """The bit of an id and a digest, from 1."""
+    return F.xxhash64(id, digest).bitwiseAND((1 << SKETCH_BITS) - 1) + 1
+
+
+def sketch_of(bits: DataFrame) -> DataFrame:
+    """bucket, bitmap: the bits that are set, 2^15 to a row, so at most 2^(SKETCH_BITS - 15) rows of 4 KB."""
+    return bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+
+
+def marked(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """rows (with id and digest) and maybe: whether the bit of the row is set in the sketch."""
+    placed = rows.withColumn("bit", bit_of(F.col("id"), F.col("digest"))).withColumn("bucket", F.bitmap_bucket_number("bit"))
+    place = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(sketch), "bucket", "left")
+    return found.withColumn("maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).select(*rows.columns, "maybe")
 
 
 def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:

@@ -202,6 +202,30 @@ def test_warc(spark):
     assert warc_bundles.read_bundles(none).count() == 0
 
 
+def test_warc_sketch_lets_revisits_through_and_few_others(spark):
+    pages = spark.range(4000).selectExpr("id", "sha2(cast(id as string), 256) as digest")
+    revisits = pages.where("id % 20 = 0").unionByName(spark.createDataFrame([(None, "d")], "id long, digest string"))
+    sketch = warc_bundles.sketch_of(revisits.select(warc_bundles.bit_of(F.col("id"), F.col("digest")).alias("bit")))
+    rows = pages.unionByName(revisits.where("id is null"))
+    found = warc_bundles.marked(rows, sketch).collect()
+    through = {r.id for r in found if r.maybe}
+    assert len(found) == 4001 and through >= {None, *range(0, 4000, 20)} and len(through) < 210
+    none = warc_bundles.marked(rows, sketch.limit(0)).where("maybe")
+    assert none.count() == 0
+
+
+def test_warc_without_broadcasts(spark):
+    pages = spark.createDataFrame([(i, "u", ("y" * 200 if i % 50 == 7 else f"page {i} ") * 20) for i in range(500)], "page_id long, url string, html string")
+    of = lambda: sorted(warc_bundles.classified(pages).select("id", "revisit", F.coalesce("refers_to", F.lit(-1))).collect())
+    want, threshold = of(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.id for r in want if r.revisit] == list(range(57, 500, 50))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert of() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=32).astype(np.float32).tolist()) for i in range(600)]

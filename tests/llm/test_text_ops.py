@@ -154,6 +154,40 @@ def test_sentencepiece_matches_the_library(odd, empty, docs):
     assert sentencepiece_fst.sentencepiece(empty, model).count() == 0
 
 
+def test_weights_decide_the_path_of_a_unigram_model(spark, tmp_path):
+    """A model written down here, with pieces that overlap everywhere: the tropical shortest path is the library's best one."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng, model, space = np.random.default_rng(11), sentencepiece_model_pb2.ModelProto(), sentencepiece_fst.SPACE
+    pieces = {"".join(rng.choice(list("abcé"), rng.integers(2, 6))) for _ in range(150)} | {space + x for x in ("a", "ab", "abc", "b", "ca")} | set("abcé") | {space}
+    kinds = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    kinds += [(p, float(np.float32(-rng.uniform(1, 4) - len(p) * rng.uniform(0.5, 3))), 1) for p in sorted(pieces)]
+    for piece, score, kind in kinds:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, True
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["".join(rng.choice(list("aabbcé d"), rng.integers(0, 60))) for _ in range(300)] + ["", " ", "  a", "zz", "é" * 40, "abc" * 500]
+    machine = sentencepiece_fst.PieceTransducer(str(path))
+    weight = lambda ids: -sum(model.pieces[i].score for i in ids)
+    greedy = 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in sentencepiece_fst.sentencepiece(docs, str(path)).collect():
+        got, want, text = np.frombuffer(r.ids, "<u4").tolist(), lib.encode(texts[r.id]), machine.normalise(texts[r.id])
+        assert got == want or abs(weight(got) - weight(want)) < 1e-3, texts[r.id]  # sums in floats may order ties their own way
+        assert r.decoded == texts[r.id]
+        at, longest = 0, []
+        while at < len(text):  # what the longest match would take
+            step = max((n for n in range(1, 7) if text[at : at + n] in machine.lexicon), default=1)
+            longest.append(machine.lexicon.get(text[at : at + step], -1))
+            at += step
+        greedy += longest != got
+    assert greedy > 100  # weights decide, not lengths
+
+
 def test_token_frames(spark, odd, empty, docs):
     from tokenizers import Tokenizer
 
