@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.quant import zigzag
+from .numbering import with_neighbours
+
+#: Samples that are decoded one after the other from the state in which their frame begins.
+FIR_FRAME = 128
 
 
 def framed(wave: DataFrame, size: int) -> DataFrame:
@@ -47,6 +51,38 @@ def residual_sql(wave: str, size: int = 64) -> str:
     res AS (SELECT track_id, frame, i, n, CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END AS z FROM e WHERE i >= 2)"""
 
 
+def _predicted(before: list[Column], weights: list[int], shift: int) -> Column:
+    return F.shiftright(sum((w * x for w, x in zip(weights, before)), F.lit(0).cast("long")), shift)
+
+
+def fir_encoded(wave: DataFrame, weights: list[int], shift: int, size: int = FIR_FRAME) -> DataFrame:
+    """track_id, frame, start (the samples before the frame, latest first; zeros before a track), codes (n, residual, and
+    the sample itself in raw where it has no residual, since it or one of those before it is null), in order."""
+    before = [f"x{j}" for j in range(1, len(weights) + 1)]
+    rows = with_neighbours(wave, lambda w: {b: F.lag("x", j, 0).over(w) for j, b in enumerate(before, 1)}, len(weights))
+    rows = rows.withColumn("residual", F.col("x") - _predicted([F.col(b) for b in before], weights, shift))
+    raw = F.when(F.col("residual").isNull(), F.col("x")).alias("raw")
+    codes = F.array_sort(F.collect_list(F.struct("n", "residual", raw))).alias("codes")
+    return framed(rows, size).groupBy("track_id", "frame").agg(F.min_by(F.array(*before), "n").alias("start"), codes)
+
+
+def fir_decoded(frames: DataFrame, weights: list[int], shift: int) -> DataFrame:
+    """track_id, n, residual, x: the samples that the frames of fir_encoded give, each frame from its start and codes alone.
+
+    The shift rounds every prediction, so the inverse is no affine map and blocks can't be composed as in `recurrence.solved`.
+    """
+    state = lambda made: [made["state"][j] for j in range(len(weights))]
+
+    def onto(made: Column, code: Column) -> Column:
+        x = F.when(code["residual"].isNull(), code["raw"]).otherwise(code["residual"] + _predicted(state(made), weights, shift))
+        return F.struct(F.array(x, *state(made)[:-1]).alias("state"), F.concat(made["xs"], F.array(x)).alias("xs"))
+
+    begun = F.struct(F.col("start").alias("state"), F.array().cast("array<bigint>").alias("xs"))
+    xs = F.aggregate("codes", begun, onto, lambda made: made["xs"])
+    samples = frames.withColumn("xs", xs).select("track_id", F.explode(F.arrays_zip("codes", "xs")).alias("s"))
+    return samples.select("track_id", "s.codes.n", "s.codes.residual", F.col("s.xs").alias("x"))
+
+
 def stereo_schemes(wave: DataFrame) -> DataFrame:
     """Long form of the four decorrelations: scheme (0 left/right, 1 left/side, 2 right/side, 3 mid/side), ch, x."""
     l, r = F.col("l"), F.col("r")

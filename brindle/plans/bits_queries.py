@@ -7,8 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.entropy import RICE_K_SQL, bytes_of, rice_bits, rice_k
 from ..functions.quant import zigzag
-from ..operators.frames import fixed_residual, framed, residual_sql
-from ..operators.numbering import with_neighbours
+from ..operators.frames import fir_decoded, fir_encoded, fixed_residual, framed, residual_sql
 from ..sources.views import MONO_SQL, table, wave_mono
 from .codec_queries import TRACKS_SQL, track_sizes
 from .registry import query
@@ -151,9 +150,9 @@ def probabilities_on_grid(spark, sf_dir):
     return grid.select(F.col("m").alias("magnitude"), F.round(F.col("c") / total, 8).alias("probability"))
 
 
-@query(f"WITH {MONO_SQL}, p AS (SELECT track_id, n, x, (12 * lag(x, 1, 0) OVER w - 6 * lag(x, 2, 0) OVER w + lag(x, 3, 0) OVER w) >> 3 AS p FROM wave WINDOW w AS (PARTITION BY track_id ORDER BY n)) SELECT track_id, n, x - p AS residual FROM p")
+@query(f"WITH {MONO_SQL}, p AS (SELECT track_id, n, x, (12 * lag(x, 1, 0) OVER w - 6 * lag(x, 2, 0) OVER w + lag(x, 3, 0) OVER w) >> 3 AS p FROM wave WINDOW w AS (PARTITION BY track_id ORDER BY n)) SELECT track_id, n, x - p AS residual, x AS back FROM p")
 def fir_prediction(spark, sf_dir):
-    """Residuals of a prediction from three samples with weights in eighths; `iir_inverse` goes the way back."""
-    taps = lambda window: sum((w * F.lag("x", j, 0).over(window) for j, w in ((1, 12), (2, -6), (3, 1))), F.lit(0))
-    rows = with_neighbours(wave_mono(spark, sf_dir), lambda w: {"p": F.shiftright(taps(w), 3)}, 3)
-    return rows.select("track_id", "n", (F.col("x") - F.col("p")).alias("residual"))
+    """Residuals of a prediction from three samples with weights in eighths, and the samples decoded from them, frame by frame."""
+    weights, shift = [12, -6, 1], 3
+    coded = fir_encoded(wave_mono(spark, sf_dir), weights, shift)
+    return fir_decoded(coded, weights, shift).select("track_id", "n", "residual", F.col("x").alias("back"))
