@@ -24,10 +24,12 @@ import uuid
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,6 +54,7 @@ _OTHER_SPACE = [x for x in map(chr, range(0x3001)) if x.isspace() and x not in "
 _TAIL = ".,;:!?)]}*$#%&\"'-"
 _LATIN_END = "\u0250"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER = "[" + "".join(rf"\x{{{ord(x):x}}}" for x in _OTHER_SPACE) + "]"
 
 
 def chunks_of(text: str) -> list[str]:
@@ -63,6 +66,20 @@ def chunks_of(text: str) -> list[str]:
     return _CUT.split(text) if loose else chunks
 
 
+def chunk_lists(texts: list[str]) -> tuple[pa.ListArray, list[int]]:
+    """The chunks of each text, and which text each list is of; an empty text has one empty chunk."""
+    column = pa.array(texts, pa.large_string() if sum(map(len, texts)) > 1 << 28 else pa.string())
+    cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+    offsets, empty = cut.offsets.to_numpy(), pc.is_in(cut.values, pa.array(["", "\n"], column.type)).to_numpy(zero_copy_only=False)
+    odd = np.add.reduceat(empty, offsets[:-1], dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
+    odd |= pc.match_substring_regex(column, _OTHER).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return cut, list(range(len(texts)))
+    apart = np.flatnonzero(odd).tolist()  # white space in them may have to stay together
+    lists = [cut.filter(pa.array(~odd)), pa.array([chunks_of(texts[i]) or [""] for i in apart], cut.type)]
+    return pa.concat_arrays(lists), np.flatnonzero(~odd).tolist() + apart
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once."""
 
@@ -79,12 +96,30 @@ class ChunkEncoder:
             self.sizes[i] = added.get(i, len(token))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks_of(t) for t in texts]
-        firsts = [c.pop(0) if c else "" for c in cut]
+        lists, places = chunk_lists(texts)
+        # each distinct chunk is looked up once, and its ids are laid out by Arrow wherever it stands
+        offsets, chunks = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        distinct, spots = chunks.dictionary.to_pylist(), chunks.indices.to_numpy().copy()
+        starts = offsets[:-1]
+        firsts = [distinct[i] for i in spots[starts].tolist()]
+        later = np.bincount(spots, minlength=len(distinct)) > np.bincount(spots[starts], minlength=len(distinct))
+        heads = self._known(list(compress(distinct, later.tolist())), firsts)
+        memo = self.memo
+        table = [memo[x] if y else b"" for x, y in zip(distinct, later.tolist())] + [heads[x] for x in firsts]
+        spots[starts] = np.arange(len(distinct), len(table))
+        laid = pa.array(table, pa.large_binary()).take(pa.array(spots))
+        ends, body = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)[offsets].tolist(), memoryview(laid.buffers()[2] or b"")
+        out: list[bytes] = [b""] * len(texts)
+        for place, begin, end in zip(places, ends, ends[1:]):
+            out[place] = b"".join((body[begin:end], self.end))
+        return out
+
+    def _known(self, chunks: list[str], firsts: list[str]) -> dict[str, bytes]:
+        """Has the memo hold the ids of all chunks; returns those of the chunks that texts begin with."""
         if len(self.memo) > MEMO // 2:
             self.memo, self.old = {}, self.memo
         memo, heads = self.memo, {"": b""}
-        new = self._missing(set().union(*cut))
+        new = self._missing(set(chunks))
         stems = {x: stem for x in new if len(stem := x.rstrip(_TAIL)) < len(x) <= len(stem) + 3 and stem.isalpha() and max(stem) < _LATIN_END}
         learn = self._missing(new.difference(stems).union(stems.values()))
         alone = [x for x in learn if x[-1].isspace()]
@@ -95,12 +130,12 @@ class ChunkEncoder:
         for x, stem in stems.items():
             memo[x] = memo[stem] + self.tails[x[len(stem) :]]
         self._learn_alone(heads, list(set(firsts).difference(heads)), "")
-        return [b"".join([heads[first], *map(memo.__getitem__, c), self.end]) for first, c in zip(firsts, cut)]
+        return heads
 
     def _missing(self, chunks: set[str]) -> set[str]:
         """Those of chunks that the memo lacks, once what its older half holds has been moved to the newer one."""
         new = chunks.difference(self.memo)
-        known = new.intersection(self.old)
+        known = set(filter(self.old.__contains__, new))  # intersection would go through all of old
         self.memo.update(zip(known, map(self.old.__getitem__, known)))
         return new - known
 

@@ -355,6 +355,18 @@ def test_classifiers_on_odd_rows(spark, odd, empty, operator):
     assert operator(empty, labels, fold("doc_id", 3) >= 0).count() == 0
 
 
+def test_chunks_are_cut_and_ids_laid_out_by_arrow(monkeypatch):
+    texts = ["", "a b\nc", " lead", "a  b", "a\n", "\n", "x\u3000y z", "a \n b", "\u65e5 b", "a b\nc"]
+    lists, places = token_frames.chunk_lists(texts)
+    assert sorted(places) == list(range(len(texts)))
+    assert all(got == (token_frames.chunks_of(texts[k]) or [""]) for k, got in zip(places, lists.to_pylist()))
+    encoder, asked = token_frames.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    known = encoder._known
+    monkeypatch.setattr(encoder, "_known", lambda chunks, firsts: asked.extend(chunks) or known(chunks, firsts))
+    assert encoder.encode([]) == [] and len(set(encoder.encode(["a b b c b"] * 50))) == 1
+    assert sorted(asked) == ["b", "c"]  # once each, however often they stand in a part
+
+
 def test_chunk_encoder_equals_the_library():
     import random
 
