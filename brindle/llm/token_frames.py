@@ -24,7 +24,7 @@ import uuid
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -66,9 +66,11 @@ def chunks_of(text: str) -> list[str]:
     return _CUT.split(text) if loose else chunks
 
 
-def chunk_lists(texts: list[str]) -> tuple[pa.ListArray, list[int]]:
-    """The chunks of each text, and which text each list is of; an empty text has one empty chunk."""
-    column = pa.array(texts, pa.large_string() if sum(map(len, texts)) > 1 << 28 else pa.string())
+def chunk_lists(texts: list[str] | pa.Array) -> tuple[pa.ListArray, list[int]]:
+    """The chunks of each text, and which text each list is of; an empty text has one empty chunk, and so has a null one."""
+    column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    if column.nbytes > 1 << 28:
+        column = column.cast(pa.large_string())
     cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
     offsets, empty = cut.offsets.to_numpy(), pc.is_in(cut.values, pa.array(["", "\n"], column.type)).to_numpy(zero_copy_only=False)
     odd = np.add.reduceat(empty, offsets[:-1], dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
@@ -76,7 +78,7 @@ def chunk_lists(texts: list[str]) -> tuple[pa.ListArray, list[int]]:
     if not odd.any():
         return cut, list(range(len(texts)))
     apart = np.flatnonzero(odd).tolist()  # white space in them may have to stay together
-    lists = [cut.filter(pa.array(~odd)), pa.array([chunks_of(texts[i]) or [""] for i in apart], cut.type)]
+    lists = [cut.filter(pa.array(~odd)), pa.array([chunks_of(t) or [""] for t in column.take(pa.array(apart)).to_pylist()], cut.type)]
     return pa.concat_arrays(lists), np.flatnonzero(~odd).tolist() + apart
 
 
@@ -95,7 +97,7 @@ class ChunkEncoder:
         for token, i in sizes.items():
             self.sizes[i] = added.get(i, len(token))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         lists, places = chunk_lists(texts)
         # each distinct chunk is looked up once, and its ids are laid out by Arrow wherever it stands
         offsets, chunks = lists.offsets.to_numpy(), lists.values.dictionary_encode()
@@ -120,7 +122,7 @@ class ChunkEncoder:
             self.memo, self.old = {}, self.memo
         memo, heads = self.memo, {"": b""}
         new = self._missing(set(chunks))
-        stems = {x: stem for x in new if len(stem := x.rstrip(_TAIL)) < len(x) <= len(stem) + 3 and stem.isalpha() and max(stem) < _LATIN_END}
+        stems = {x: stem for x in new if len(stem := x.rstrip(_TAIL)) < len(x) <= len(stem) + 3 and stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END)}
         learn = self._missing(new.difference(stems).union(stems.values()))
         alone = [x for x in learn if x[-1].isspace()]
         self._learn_alone(memo, alone, " ")
@@ -147,19 +149,19 @@ class ChunkEncoder:
             memo[x] = array("I", ids).tobytes()
 
     def _learn(self, memo: dict[str, bytes], chunks: list[str]) -> None:
-        """Encodes many chunks as one text, which costs the library far less than a call a chunk, and parts the ids by their bytes."""
-        for at in range(0, len(chunks), JOINED):
-            group = chunks[at : at + JOINED]
-            spaced = [x if x[0] == "\n" else " " + x for x in group]
-            ids = np.array(self._ids(["".join(spaced)])[0], "<u4")
-            ends, token_ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in spaced]), np.cumsum(self.sizes[ids])
-            last = np.searchsorted(token_ends, ends)
-            if last[-1] != len(ids) - 1 or not np.array_equal(token_ends[last], ends):
-                raise ValueError("the tokenizer's ids don't add up to the bytes of the text")
-            packed, begin = ids.tobytes(), 0
-            for x, end in zip(group, (4 * last + 4).tolist()):
-                memo[x] = packed[begin:end]
-                begin = end
+        """Encodes many chunks as few texts, which costs the library far less than a call a chunk, and parts the ids by their bytes."""
+        spaced = [x if x[0] == "\n" else " " + x for x in chunks]
+        if not spaced:
+            return
+        ids = np.fromiter(chain.from_iterable(self._ids(["".join(spaced[at : at + JOINED]) for at in range(0, len(spaced), JOINED)])), "<u4")
+        ends, token_ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in spaced]), np.cumsum(self.sizes[ids])
+        last = np.searchsorted(token_ends, ends)
+        if last[-1] != len(ids) - 1 or not np.array_equal(token_ends[last], ends):
+            raise ValueError("the tokenizer's ids don't add up to the bytes of the text")
+        packed, begin = ids.tobytes(), 0
+        for x, end in zip(chunks, (4 * last + 4).tolist()):
+            memo[x] = packed[begin:end]
+            begin = end
 
 
 @lru_cache(1)
@@ -176,8 +178,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc
         encoder = encoder_of(tokenizer, end_id)
         for batch in batches:
             for part in parts_of(batch, PART_BYTES):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(encoder.encode(texts), pa.binary())], names=["id", "ids"])
+                yield pa.record_batch([part.column(0), pa.array(encoder.encode(part.column(1)), pa.binary())], names=["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(of, "id long, ids binary")
 
@@ -199,7 +200,7 @@ def write_frames(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         writer, name, first = None, f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin.zst", 0
         for batch in (part for b in batches for part in parts_of(b, PART_BYTES)):
             rows = []
-            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 writer = writer or FrameWriter(open_output(name), frame_bytes)
                 frame, place = writer.put(struct.pack(HEADER, i or 0, i is None, len(ids) // 4) + ids)
                 rows.append((name, part, frame, place, i, len(ids) // 4, first))
