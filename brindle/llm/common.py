@@ -21,14 +21,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, path: str | None = None, compression: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage and outlives lost executors.
 
     The table goes when unstage is called on it, or else when the application ends.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

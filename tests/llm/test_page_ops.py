@@ -172,6 +172,83 @@ def test_hosts_leave_near_copies_and_shared_passages(spark):
     assert got == {1: story, 2: near, 3: story, 4: near, 5: f"{own[0]} {passage}", 6: f"{own[1]} {passage}", **{7 + i: other[i] for i in range(3)}}
 
 
+def test_array_holds_the_words_of_articles(spark):
+    """Passages that articles share are repeats of the array, and stay; a page without repeats has none."""
+    words = iter(np.random.default_rng(6).permutation([f"w{i}" for i in range(3000)]).tolist())
+    body = lambda n: " ".join(next(words) for _ in range(n))
+    passage, own = body(30), [body(40) for _ in range(7)]
+    rows = [(i, "http://a.example/", page(f"<nav>{body(10)}</nav><article><p>{own[i]}</p>{f'<p>{passage}</p>' * (i < 6)}</article>")) for i in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts = {(r.id, r.sign): (r.blocks, r.repeated) for r in host_suffix.repeated_blocks(pages).collect()}
+    assert counts == {(i, "0"): (1, 0) for i in range(7)} | {(i, "A"): (2, 1) for i in range(6)} | {(6, "A"): (1, 0)}
+    assert {r.id: r.text for r in host_suffix.main_texts(pages).collect()} == {i: " ".join([own[i], passage][: 1 + (i < 6)]) for i in range(7)}
+
+
+def test_array_overrules_an_article_that_is_boilerplate(spark, monkeypatch):
+    """A promotion in an article element on every page of a host isn't the text beside the page's own words; where the array
+    finds no repeats, or few, the element's tag decides."""
+    words = iter(np.random.default_rng(7).permutation([f"w{i}" for i in range(3000)]).tolist())
+    body = lambda n: " ".join(next(words) for _ in range(n))
+    promotion, own = body(14), [body(60) for _ in range(12)]
+    rows = [(i, f"http://{'a' if i < 8 else 'b'}.example/{i}", page(f"<article><p>{promotion}</p></article><div><p>{own[i]}</p></div>")) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in host_suffix.main_texts(pages).collect()}
+    assert got == {i: own[i] if i < 8 else promotion for i in range(12)}
+    monkeypatch.setattr(host_suffix, "repeats", lambda array: array.sparkSession.createDataFrame([], "part long, run long, whole long"))
+    assert {r.text for r in host_suffix.main_texts(pages).collect()} == {promotion}
+
+
+@pytest.mark.parametrize("opened", [False, True])
+def test_evidence_against_brute_force(spark, monkeypatch, opened):
+    """The places of repeats and of boilerplate, through sieve, pieces, array and counts; hosts that don't ask lack rare repeats."""
+    monkeypatch.setattr(host_suffix, "SHARE", 0.2)
+    rng = np.random.default_rng(3)
+    bank = [" ".join(f"p{i}x{j}" for j in range(int(rng.integers(9, 40)))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        blocks = [" ".join("abcdefgh"[int(x)] for x in rng.integers(0, 8, 25)), *(bank[int(x)] for x in rng.integers(0, 1 + i % 12, 3)), f"own {i} " * 5]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        rows.append((i, f"http://h{i % 2}/", page(body if opened else f"<nav>{bank[i % 12]}</nav><article>{body}</article>")))
+    found = host_suffix._rows(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")
+    parts = host_suffix._parsed(found, 8)
+    marks = {r.number: tuple(r[x] for x in host_suffix.SKETCH) for r in parts.collect()}
+    got = {r.number: (set(r.repeated), set(r.common)) for r in host_suffix._evidence(parts, 8).collect()}
+    at, hosts, times = {}, {}, {}
+    words = {r.number: (r.host, [w for _, t in host_suffix.lines_of(r.html) for w in t.split()]) for r in found.collect()}
+    for number, (host, row) in words.items():
+        hosts.setdefault(host, set()).add(marks[number])
+        for j in range(len(row) - 7):
+            key = (host, *row[j : j + 8])
+            at.setdefault(key, set()).add(marks[number])
+            times[key] = times.get(key, 0) + 1
+    apart = lambda pages: min(len(set(x)) for x in zip(*pages))
+    often = {k for k, v in at.items() if apart(v) >= max(5, -(-apart(hosts[k[0]]) // 5))}
+    assert often and len(often) < sum(len(v) > 1 for v in at.values())
+    for number, (host, row) in words.items():
+        keys = {j: (host, *row[j : j + 8]) for j in range(len(row) - 7)}
+        repeated, common = got.get(number, (set(), set()))
+        assert common == {j for j, k in keys.items() if k in often}
+        want = {j for j, k in keys.items() if apart(at[k]) > 1}
+        assert repeated == want if opened else {j for j in want if times[keys[j]] >= 5} <= repeated <= want
+
+
+@pytest.mark.parametrize("width", [1, 3, 40])
+def test_sieve_drops_no_repeat(spark, monkeypatch, width):
+    monkeypatch.setattr(host_suffix, "shuffle_width", lambda spark: width)
+    monkeypatch.setattr(host_suffix, "CHUNK", 100)
+    rng = np.random.default_rng(width)
+    texts = [(f"h{i % 2}", " ".join("abcdef"[int(x)] for x in rng.integers(0, 6, 50))) for i in range(40)] + [("h2", None), ("h2", "a b c"), ("h3", "x " * 9)]
+    rows = spark.createDataFrame([(h, t and f"<article>{t}</article>") for h, t in texts] + [("h0", "no article")], "host string, html string")
+    bits, times = host_suffix.sieve(rows, 4), {}
+    for h, t in texts:
+        for k in host_suffix._keys(h, host_suffix.tokens_of(host_suffix.bytes_of([("A", t.strip())] if t else []))[0], 4).tolist():
+            times[k] = times.get(k, 0) + 1
+    assert sum(n == 1 for n in times.values()) > 100 and any(n >= 5 for n in times.values())
+    for k, n in times.items():
+        assert [bool(host_suffix._bit(x, np.array([k], np.uint64))[0]) for x in bits] == [n > 1, n >= 5]
+    assert [bool(host_suffix._bit(bits[0], host_suffix._flag(h))[0]) for h in ("h0", "h1", "h2", "h3")] == [True, False, False, False]
+
+
 def test_pages_table_matches_a_plain_reading(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     got = {r.id: r.text for r in host_suffix.main_texts(pages).collect()}
