@@ -46,14 +46,30 @@ def unstage(*tables: DataFrame) -> None:
 HOT_SHARE = 1 / 4096
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+#: Narrow rows (ids and numbers) to a task, and the tasks that even a small table is dealt to.
+TASK_ROWS, LEAST_TASKS = 1 << 17, 12
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for a table of so many narrow rows. Each has a bounded share; a small table isn't cut into as many tasks as
+    the session's shuffles have partitions, each of which would take longer to start than to work."""
+    return max(LEAST_TASKS, -(-rows // TASK_ROWS))
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, tasks: int | None = None) -> DataFrame:
     """rows joined with groups on key, whatever the share of one key in rows. groups: one row a key, its count of rows.
 
     Keys with more than HOT_SHARE of all total rows are fewer than 4,096, so their groups (which must be narrow) are
-    broadcast and their rows stay where they are; the other rows are shuffled by key, none of which is hot.
+    broadcast and their rows stay where they are; the other rows are shuffled by key, none of which is hot. With tasks,
+    no more tasks than that read a shuffle of the join.
     """
     most = 1 << int(total * HOT_SHARE).bit_length()  # of few values, so that generated code is shared
     hot, cold = groups.where(F.col(count) > most), groups.where(F.col(count) <= most)
+    if tasks:
+        # the merge hint keeps the groups in the partitions that they are counted in, which the join then reads together
+        hot, cold = hot.coalesce(tasks), cold.hint("merge")
+        rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+        return rest.join(cold, key).coalesce(tasks).unionByName(rows.join(F.broadcast(hot), key))
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rest.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))
 

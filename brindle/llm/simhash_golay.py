@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import hot_join, load, staged, unstage
+from .common import hot_join, load, staged, tasks_for, unstage
 from .components import components
 
 MAX_BITS = 3
@@ -140,15 +140,17 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp, component_id (the smallest id reachable) of each row."""
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "nodes")
-    count, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total = prints.count()
+    tasks = tasks_for(total)
+    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")).coalesce(tasks), "nodes")
+    count = nodes.count()
     parts = components(fingerprint_links(nodes))
     named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "n", "least_id", F.coalesce("component", "fp").alias("component"))
-    named = staged(named, "named")
-    least = staged(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "least")
-    groups = staged(hot_join(named.drop("least_id"), least, "component", "size", count).select("fp", "n", "component_id"), "groups")
+    named = staged(named.coalesce(tasks), "named")
+    least = staged(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("size")).coalesce(tasks), "least")
+    groups = staged(hot_join(named.drop("least_id"), least, "component", "size", count, tasks).select("fp", "n", "component_id"), "groups")
     unstage(nodes, named, least)
-    return hot_join(prints, groups, "fp", "n", total).select("id", "fp", "component_id")
+    return hot_join(prints, groups, "fp", "n", total, tasks).select("id", "fp", "component_id")
 
 
 def op10_simhash_dedup(spark, sf_dir):

@@ -141,6 +141,27 @@ def test_components(spark):
     assert found == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 400)}
 
 
+def test_components_of_few_links_take_few_tasks_whatever_the_width(spark):
+    """A narrow table isn't cut into as many tasks as the session's shuffles have partitions, round after round."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 9000)], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    spark.sparkContext.setJobGroup("few-tasks", "few-tasks")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.component for r in components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    at = spark.sparkContext.statusTracker()
+    stages = {s for j in at.getJobIdsForGroup("few-tasks") for s in at.getJobInfo(j).stageIds}
+    tasks = [x.numTasks for s in stages if (x := at.getStageInfo(s)) and x.numCompletedTasks]
+    assert found == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 9000)}
+    assert sum(n >= 211 for n in tasks) <= 2  # the links' first table, of which nothing is known before, and its reader
+
+
 def test_sentencepiece_matches_the_library(odd, empty, docs):
     import sentencepiece
 
