@@ -40,10 +40,10 @@ from .common import load, parts_of
 
 SPACE = "▁"
 #: Bytes of segments and their ids (with what Python adds to each), and pairs of pieces, that a worker remembers; beyond that it starts anew.
-MEMO_BYTES, OVERHEAD = 96 << 20, 200
-PAIRS = 500_000
-#: Bytes of text that are encoded at a time.
-PART_BYTES = 2 << 20
+MEMO_BYTES, OVERHEAD = 48 << 20, 200
+PAIRS = 300_000
+#: Bytes of text that are encoded at a time: as segments they take dozens of times as much.
+PART_BYTES = 1 << 19
 INFINITE = float("inf")
 #: What a lattice's state has in place of the id of the last piece.
 START, FALLBACK, NOWHERE = -2, -1, -3

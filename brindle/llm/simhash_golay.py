@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import hot_join, load, staged, tasks_for, unstage
+from .common import hot_join, load, parts_of, staged, tasks_for, unstage
 from .components import components
 
 MAX_BITS = 3
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
+#: Text that is read at a time.
+PART_BYTES = 1 << 22
 # The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 
@@ -58,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
 
     def of(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in parts_of(b, PART_BYTES)):
             found = np.fromiter((fingerprint(t or b"") for t in batch.column(1).to_pylist()), np.uint64, len(batch))
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import load, staged
+from .common import load, parts_of, staged
 from .labelled import fit_sample, fold
 
 BUCKETS = 1 << 18
@@ -36,8 +36,10 @@ STEMS = (5, 6, 7, 8, 10)
 PER_CLASS = 8192
 FEATURES = 1024
 FACTORS = 8
-#: Words and terms that a task remembers; beyond that it starts anew.
-MEMO = 1_000_000
+#: Words that a task remembers; beyond that it starts anew. Their terms, several times as many, are hashed instead.
+MEMO = 250_000
+#: Text that is read at a time.
+PART_BYTES = 2 << 20
 _ENDS = string.punctuation + "«»„“”‘’…¡¿"
 
 
@@ -56,14 +58,9 @@ class TermIndex:
         self.place = None if chosen is None else {int(b): i for i, b in enumerate(chosen)}
         self.blank: set[str] = set()
         self.known: dict[str, tuple[int, ...]] = {}
-        self.stems: dict[str, int] = {}
 
     def _stem(self, term: str) -> int:
-        at = self.stems.get(term)
-        if at is None:
-            at = bucket(term) if self.place is None else self.place.get(bucket(term), -1)
-            self.stems[term] = at
-        return at
+        return bucket(term) if self.place is None else self.place.get(bucket(term), -1)
 
     def _learn(self, word: str) -> tuple[int, ...]:
         bare = word.strip(_ENDS)
@@ -75,8 +72,8 @@ class TermIndex:
         return tuple(at)
 
     def terms(self, text: str | None) -> list[int]:
-        if len(self.blank) + len(self.known) + len(self.stems) > MEMO:
-            self.blank, self.known, self.stems = set(), {}, {}
+        if len(self.blank) + len(self.known) > MEMO:
+            self.blank, self.known = set(), {}
         known, found = self.known, set()
         for word in set((text or "").lower().split()) - self.blank:
             found.update(known.get(word) or self._learn(word))
@@ -167,7 +164,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text"
     def of(batches):
         model = sent.value
         index = TermIndex(model.chosen)
-        for batch in batches:
+        for batch in (part for b in batches for part in parts_of(b, PART_BYTES, at)):
             found = model.score([index.terms(t) for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*kept, "score"])
 

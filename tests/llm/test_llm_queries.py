@@ -138,6 +138,22 @@ def test_sample_is_bounded_in_rows(spark):
     assert sorted((r.text, r.y) for r in rows) == [("t0", 1), ("t1", 0), ("t103", 1)]
 
 
+def test_a_toxicity_task_remembers_words_and_not_their_terms():
+    """The terms of new words, five a word, once took most of what a worker held through the stages after it."""
+    import tracemalloc
+
+    text = " ".join(f"{i:06d}{'word' * 2}{i}" for i in range(20_000))
+    index = toxicity_fm.TermIndex(np.arange(1024))
+    tracemalloc.start()
+    try:
+        found = index.terms(text)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 20_000 * 300 and len(index.blank) + len(index.known) == 20_000
+    assert found == sorted({b for w in text.split() for n in toxicity_fm.STEMS if (b := toxicity_fm.bucket(w if len(w) <= n else w[:n] + "*")) < 1024})
+
+
 def test_quality_ties_vote_together():
     model = quality_lsa.QualityModel(np.ones(2), np.eye(2), np.array([[1.0, 0.0]] * 40 + [[0.0, 1.0]] * 5), np.array([1.0] * 20 + [0.0] * 20 + [1.0] * 5))
     assert model.score(np.array([[1.0, 0.0], [0.0, 1.0]])).tolist() == pytest.approx([0.5, 1.0], abs=1e-9)
