@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections.abc import Collection
 from functools import lru_cache
 from itertools import chain, compress
 
@@ -82,6 +83,11 @@ def chunk_lists(texts: list[str] | pa.Array) -> tuple[pa.ListArray, list[int]]:
     return pa.concat_arrays(lists), np.flatnonzero(~odd).tolist() + apart
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist, which makes an Arrow scalar of each string first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once."""
 
@@ -101,13 +107,12 @@ class ChunkEncoder:
         lists, places = chunk_lists(texts)
         # each distinct chunk is looked up once, and its ids are laid out by Arrow wherever it stands
         offsets, chunks = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        distinct, spots = chunks.dictionary.to_pylist(), chunks.indices.to_numpy().copy()
+        distinct, spots = _strings(chunks.dictionary), chunks.indices.to_numpy().copy()
         starts = offsets[:-1]
         firsts = [distinct[i] for i in spots[starts].tolist()]
         later = np.bincount(spots, minlength=len(distinct)) > np.bincount(spots[starts], minlength=len(distinct))
         heads = self._known(list(compress(distinct, later.tolist())), firsts)
-        memo = self.memo
-        table = [memo[x] if y else b"" for x, y in zip(distinct, later.tolist())] + [heads[x] for x in firsts]
+        table = list(map(self.memo.get, distinct)) + [heads[x] for x in firsts]  # None where a chunk stands first alone
         spots[starts] = np.arange(len(distinct), len(table))
         laid = pa.array(table, pa.large_binary()).take(pa.array(spots))
         ends, body = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1)[offsets].tolist(), memoryview(laid.buffers()[2] or b"")
@@ -117,16 +122,17 @@ class ChunkEncoder:
         return out
 
     def _known(self, chunks: list[str], firsts: list[str]) -> dict[str, bytes]:
-        """Has the memo hold the ids of all chunks; returns those of the chunks that texts begin with."""
+        """Has the memo hold the ids of all chunks, which are distinct; returns those of the chunks that texts begin with."""
         if len(self.memo) > MEMO // 2:
             self.memo, self.old = {}, self.memo
         memo, heads = self.memo, {"": b""}
-        new = self._missing(set(chunks))
-        stems = {x: stem for x in new if len(stem := x.rstrip(_TAIL)) < len(x) <= len(stem) + 3 and stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END)}
-        learn = self._missing(new.difference(stems).union(stems.values()))
+        new = self._missing(chunks)
+        stems = {x: stem for x in new if x[-1] in _TAIL and len(x) <= len(stem := x.rstrip(_TAIL)) + 3 and stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END)}
+        learn = [x for x in new if x not in stems]
+        learn += self._missing(set(stems.values()).difference(learn))
         alone = [x for x in learn if x[-1].isspace()]
         self._learn_alone(memo, alone, " ")
-        self._learn(memo, list(learn.difference(alone)))
+        self._learn(memo, [x for x in learn if not x[-1].isspace()] if alone else learn)
         tails = {x[len(stem) :] for x, stem in stems.items()}
         self._learn_alone(self.tails, list(tails.difference(self.tails)), "")
         for x, stem in stems.items():
@@ -134,12 +140,12 @@ class ChunkEncoder:
         self._learn_alone(heads, list(set(firsts).difference(heads)), "")
         return heads
 
-    def _missing(self, chunks: set[str]) -> set[str]:
+    def _missing(self, chunks: Collection[str]) -> list[str]:
         """Those of chunks that the memo lacks, once what its older half holds has been moved to the newer one."""
-        new = chunks.difference(self.memo)
-        known = set(filter(self.old.__contains__, new))  # intersection would go through all of old
-        self.memo.update(zip(known, map(self.old.__getitem__, known)))
-        return new - known
+        new = [x for x, ids in zip(chunks, map(self.memo.get, chunks)) if ids is None]
+        found = list(map(self.old.get, new))
+        self.memo.update((x, ids) for x, ids in zip(new, found) if ids is not None)
+        return [x for x, ids in zip(new, found) if ids is None]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.lib.encode_batch_fast(texts, add_special_tokens=False)]

@@ -388,6 +388,23 @@ def test_chunks_are_cut_and_ids_laid_out_by_arrow(monkeypatch):
     assert sorted(asked) == ["b", "c"]  # once each, however often they stand in a part
 
 
+def test_a_new_chunk_costs_few_calls_and_a_known_one_none():
+    """Most chunks of a large table are new, so what Python does for each decides the encoder's CPU time."""
+    import sys
+
+    encoder, calls = token_frames.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(200)]
+    for most in (4 * 20_000, 1_000):
+        calls.clear()
+        sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+        try:
+            got = encoder.encode(texts)
+        finally:
+            sys.setprofile(None)
+        assert len(calls) < most
+    assert got == [b"".join(np.array(x.ids + [0], "<u4").tobytes() for x in [encoder.lib.encode(t, add_special_tokens=False)]) for t in texts]
+
+
 def test_chunk_encoder_equals_the_library():
     import random
 
