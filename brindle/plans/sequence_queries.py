@@ -81,8 +81,9 @@ def zscore_train_only(spark, sf_dir):
 
 @query(f"WITH {MONO_SQL}, l AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS len FROM wave) SELECT track_id, n, CASE WHEN n < floor(len * 0.7) THEN 'train' WHEN n < floor(len * 0.7) + floor(len * 0.1) THEN 'val' ELSE 'test' END AS split FROM l")
 def ordinal_split(spark, sf_dir):
+    """The first seven tenths of a track, the tenth after them, and the rest. Shares are of whole numbers: 0.7 times 90 in doubles is below 63."""
     rows = with_length(wave_mono(spark, sf_dir))
-    a, b = F.floor(F.col("len") * 0.7), F.floor(F.col("len") * 0.1)
+    a, b = F.expr("len * 7 div 10"), F.expr("len div 10")
     return rows.select("track_id", "n", F.when(F.col("n") < a, "train").when(F.col("n") < a + b, "val").otherwise("test").alias("split"))
 
 
