@@ -140,7 +140,12 @@ def ema_time_weighted(spark, sf_dir):
 
 @query(f"WITH {RUNS_SQL} SELECT domain, dataset, count(*) AS n, CAST(round(sum(rate) * 100) AS BIGINT) AS cents, CAST(grouping(domain, dataset) AS BIGINT) AS level FROM runs GROUP BY ROLLUP (domain, dataset)")
 def subset_rollup(spark, sf_dir):
-    return runs(spark, sf_dir).rollup("domain", "dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rate") * 100).cast("long").alias("cents"), F.grouping_id().cast("long").alias("level"))
+    """Counts and cents of each subset, each domain and all. Wholes are summed as decimals and what is left of them as
+    doubles, so that a sum is rounded once and doesn't depend on the order in which millions of rates come."""
+    whole = F.rint("rate")
+    parts = runs(spark, sf_dir).groupBy("domain", "dataset").agg(F.count(F.lit(1)).alias("n"), F.sum(whole.cast("decimal(28,0)")).alias("whole"), F.sum(F.col("rate") - whole).alias("rest"))
+    total = F.sum("whole").cast("double") + F.sum("rest")
+    return parts.rollup("domain", "dataset").agg(F.sum("n").alias("n"), F.round(total * 100).cast("long").alias("cents"), F.grouping_id().cast("long").alias("level"))
 
 
 @query(f"WITH {RUNS_SQL}, c AS (SELECT domain, status, count(*) AS n FROM runs GROUP BY ALL) SELECT domain, status, n, round(100.0 * n / sum(n) OVER (PARTITION BY domain), 6) AS percent FROM c")

@@ -36,3 +36,16 @@ def test_splits_of_lengths_whose_share_is_whole(spark, duck, tmp_path):
     got = from_spark(spark, tmp_path, "ordinal_split")
     assert got == from_sql(duck, tmp_path, "ordinal_split")
     assert sum(split == "train" and track == 4 for _, split, track in got) == 63
+
+
+def test_rollup_to_the_cent(spark, tmp_path):
+    # beside a rate of 2^50 a double has no place for most cents
+    rates = [None, float(1 << 50), *[0.01] * 1000, -float(1 << 50), 1.755, -2.505, 1e6]
+    orders = [(i, 1, "F", rate, datetime(2024, 1, 1), "1-URGENT") for i, rate in enumerate(rates)] + [(5000 + i, i % 3, "O", i / 4, datetime(2024, 1, 1), "2-HIGH") for i in range(6)]
+    written(
+        spark, tmp_path, orders=(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"), customer=([(0, 0), (1, 1), (2, 2)], "c_custkey long, c_nationkey int"),
+        nation=([(0, "A", 0), (1, "B", 0), (2, None, 1)], "n_nationkey int, n_name string, n_regionkey int"), region=([(0, "X"), (1, "Y")], "r_regionkey int, r_name string"),
+    )
+    large, n = 1000 + 100_000_000 - 75, len(rates)
+    want = [("X", "A", 2, 75, 0), ("X", "B", n + 2, large + 125, 0), ("Y", None, 2, 175, 0), ("X", None, n + 4, large + 200, 1), ("Y", None, 2, 175, 1), (None, None, n + 6, large + 375, 3)]
+    assert sorted(map(tuple, QUERIES["subset_rollup"](spark, str(tmp_path)).select("domain", "dataset", "n", "cents", "level").collect()), key=str) == sorted(want, key=str)
