@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.adaptive import code_length, context_counts, symbols
+from ..operators.adaptive import code_length, context_counts, symbols, text_code_lengths
 from ..sources.views import BYTES_SQL, byte_chunks, table
 from .registry import query
 
@@ -19,9 +19,8 @@ COUNTS_SQL = f"""{BYTES_SQL}, b AS (SELECT doc_id, idx AS n, CAST('0x' || substr
 @query(f"WITH {COUNTS_SQL}, d AS (SELECT doc_id, count(*) AS bytes, round(avg(bits), 5) AS bits_per_byte, count(*) FILTER (n < 2 OR c2 = 0) AS escapes FROM l GROUP BY doc_id) SELECT documents.doc_id, coalesce(bytes, 0) AS bytes, bits_per_byte, coalesce(escapes, 0) AS escapes FROM documents LEFT JOIN d USING (doc_id)")
 def adaptive_code_length(spark, sf_dir):
     """Bits a byte of whole documents under an adaptive model of order 2 that backs off; null for texts without bytes."""
-    counts = context_counts(symbols(byte_chunks(spark, sf_dir)))
-    seen = (F.col("n") >= 2) & (F.col("c2") > 0)
-    sums = counts.withColumn("bits", code_length()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("bytes"), F.round(F.avg("bits"), 5).alias("bits_per_byte"), F.count_if(~seen).alias("escapes"))
+    lengths = text_code_lengths(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id")
+    sums = lengths.agg(F.sum("bytes").alias("bytes"), F.round(F.sum("bits") / F.sum("bytes"), 5).alias("bits_per_byte"), F.sum("escapes").alias("escapes"))
     docs = table(spark, sf_dir, "documents").select("doc_id").join(sums, "doc_id", "left")
     return docs.select("doc_id", F.coalesce("bytes", F.lit(0)).alias("bytes"), "bits_per_byte", F.coalesce("escapes", F.lit(0)).alias("escapes"))
 

@@ -2,6 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+from test_operators import plain_bits
+
+from brindle.operators.adaptive import text_code_lengths
 from brindle.plans.catalogue import ORACLES, QUERIES
 
 
@@ -49,3 +54,22 @@ def test_rollup_to_the_cent(spark, tmp_path):
     large, n = 1000 + 100_000_000 - 75, len(rates)
     want = [("X", "A", 2, 75, 0), ("X", "B", n + 2, large + 125, 0), ("Y", None, 2, 175, 0), ("X", None, n + 4, large + 200, 1), ("Y", None, 2, 175, 1), (None, None, n + 6, large + 375, 3)]
     assert sorted(map(tuple, QUERIES["subset_rollup"](spark, str(tmp_path)).select("domain", "dataset", "n", "cents", "level").collect()), key=str) == sorted(want, key=str)
+
+
+TEXTS = ["a", "éa", "a" * 23, "abracadabra, abracadabra éé", "".join(map(chr, range(60))) * 2, "ab" * 40 + "ba" * 40, "", None]
+
+
+@pytest.mark.parametrize("size", [1 << 16, 40, 3])
+def test_code_lengths_of_texts_in_stretches_and_pieces(spark, size):
+    texts = spark.createDataFrame([(10 * k + i, text) for k in range(3) for i, text in enumerate(TEXTS)], "doc_id long, text string").coalesce(1)
+    sums = text_code_lengths(texts, "doc_id", "text", size).groupBy("doc_id").agg(F.sum("bits"), F.sum("bytes"), F.max("octave"))
+    bodies = {10 * k + i: text.encode() for k in range(3) for i, text in enumerate(TEXTS) if text}
+    assert {r[0]: tuple(r[1:]) for r in sums.collect()} == {i: (pytest.approx(plain_bits(body)), len(body), len(body).bit_length() - 1) for i, body in bodies.items()}
+
+
+@pytest.mark.parametrize("name, exchanges", [("adaptive_code_length", 2)])
+def test_bytes_of_texts_stay_with_their_task(spark, duck, tmp_path, name, exchanges):
+    written(spark, tmp_path, documents=([(i, text) for i, text in enumerate(TEXTS)], "doc_id long, text string"))
+    assert from_spark(spark, tmp_path, name) == from_sql(duck, tmp_path, name)
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString() + QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") <= exchanges
