@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.adaptive import code_length, context_counts, symbols, text_code_lengths
-from ..sources.views import BYTES_SQL, byte_chunks, table
+from ..operators.adaptive import text_code_lengths
+from ..sources.views import BYTES_SQL, table
 from .registry import query
 
 COUNTS_SQL = f"""{BYTES_SQL}, b AS (SELECT doc_id, idx AS n, CAST('0x' || substr(h, 2 * idx + 1, 2) AS BIGINT) AS b FROM spread), c AS (SELECT *, lag(b, 1) OVER w AS b1, lag(b, 2) OVER w AS b2 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
@@ -28,7 +28,6 @@ def adaptive_code_length(spark, sf_dir):
 @query(f"WITH {COUNTS_SQL} SELECT CAST(floor(log2(n + 1)) AS BIGINT) AS octave, count(*) AS bytes, round(avg(bits), 5) AS bits_per_byte, round(avg(o0), 5) AS bits_order0 FROM l GROUP BY octave")
 def adaptive_learning_curve(spark, sf_dir):
     """Bits a byte by how far into a document it stands (in doublings), beside those of counts without a context."""
-    counts = context_counts(symbols(byte_chunks(spark, sf_dir))).withColumn("bits", code_length())
-    order0 = F.when(F.col("c0") > 0, -F.log2(F.col("c0") / (F.col("n") + 1))).otherwise(8 - F.log2(1 / (F.col("n") + 1)))
-    octave = F.floor(F.log2(F.col("n") + 1)).cast("long").alias("octave")
-    return counts.groupBy(octave).agg(F.count(F.lit(1)).alias("bytes"), F.round(F.avg("bits"), 5).alias("bits_per_byte"), F.round(F.avg(order0), 5).alias("bits_order0"))
+    mean = lambda bits, name: F.round(F.sum(bits) / F.sum("bytes"), 5).alias(name)
+    lengths = text_code_lengths(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lengths.groupBy("octave").agg(F.sum("bytes").alias("bytes"), mean("bits", "bits_per_byte"), mean("bits_order0", "bits_order0"))

@@ -67,7 +67,7 @@ def test_code_lengths_of_texts_in_stretches_and_pieces(spark, size):
     assert {r[0]: tuple(r[1:]) for r in sums.collect()} == {i: (pytest.approx(plain_bits(body)), len(body), len(body).bit_length() - 1) for i, body in bodies.items()}
 
 
-@pytest.mark.parametrize("name, exchanges", [("adaptive_code_length", 2)])
+@pytest.mark.parametrize("name, exchanges", [("adaptive_code_length", 2), ("adaptive_learning_curve", 1)])
 def test_bytes_of_texts_stay_with_their_task(spark, duck, tmp_path, name, exchanges):
     written(spark, tmp_path, documents=([(i, text) for i, text in enumerate(TEXTS)], "doc_id long, text string"))
     assert from_spark(spark, tmp_path, name) == from_sql(duck, tmp_path, name)
