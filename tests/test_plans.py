@@ -2,10 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import plain_bits
 
+from brindle.operators import codecs
 from brindle.operators.adaptive import text_code_lengths
 from brindle.plans.catalogue import ORACLES, QUERIES
 
@@ -73,3 +75,31 @@ def test_bytes_of_texts_stay_with_their_task(spark, duck, tmp_path, name, exchan
     assert from_spark(spark, tmp_path, name) == from_sql(duck, tmp_path, name)
     plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString() + QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") <= exchanges
+
+
+def test_chunks_coded_side_by_side_are_those_coded_one_by_one(monkeypatch):
+    monkeypatch.setattr(codecs, "LANES", 16)
+    monkeypatch.setattr(codecs, "LONGEST", 2500)
+    rng = np.random.default_rng(3)
+    chunks = [b"", b"a", b"ab", b"a" * 3000, b"b" + b"a" * 2047, b"a" * 2047 + b"b", bytes(range(256)) * 8, *(rng.integers(0, m, n).astype(np.uint8).tobytes() for m in (2, 3, 256) for n in (1, 2, 300, 2048, 2600))]
+    # bounds that straddle the middle for long, so that sums carry far
+    chunks += [rng.choice([0, 1, 2], n, p=[0.998, 0.001, 0.001]).astype(np.uint8).tobytes() for n in range(1, 1000, 19)]
+    codes = codecs.arithmetic_encode_all(chunks)
+    assert codes == [codecs.arithmetic_encode(chunk) for chunk in chunks]
+    assert codecs.arithmetic_decode_all(codes, [len(chunk) for chunk in chunks]) == chunks
+    assert codecs.arithmetic_encode_all([]) == codecs.arithmetic_decode_all([], []) == []
+    damaged = [codes[6][:-9] + bytes(9)]
+    assert codecs.arithmetic_decode_all(damaged, [2048]) == [codecs.arithmetic_decode(damaged[0], 2048)] != [chunks[6]]
+
+
+def test_chunks_are_not_coded_one_by_one(spark, duck, tmp_path, monkeypatch):
+    def one(*_):
+        raise AssertionError("a chunk of its own")
+
+    monkeypatch.setattr(codecs, "arithmetic_encode", one)
+    monkeypatch.setattr(codecs, "arithmetic_decode", one)
+    chunks = [bytes([65 + i % 7] * (i + 1)) for i in range(70)]
+    assert codecs.arithmetic_decode_all(codecs.arithmetic_encode_all(chunks), [len(chunk) for chunk in chunks]) == chunks
+    texts = [*TEXTS, *("ab" * n + "c" for n in range(900, 1100, 9))]
+    written(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert from_spark(spark, tmp_path, "arith_coder_roundtrip") == from_sql(duck, tmp_path, "arith_coder_roundtrip")
