@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.entropy import RICE_K_SQL, rice_k
 from ..functions.lpc import SHIFT, autocorrelation, integer_weights, levinson, residuals
 from ..operators.frames import framed
+from ..operators.prediction import order_bits
 from ..sources.views import MONO_SQL, STEREO_SQL, wave_mono, wave_stereo
 from .registry import query
 
@@ -87,12 +88,13 @@ def lpc_order_search(spark, sf_dir):
 @query(f"{_sizes_sql(STEREO_SQL, 'l', 128, range(5, 21))}, t AS (SELECT track_id, m, CAST(sum(bits) AS BIGINT) AS bits FROM b GROUP BY ALL), best AS (SELECT track_id, frame, min(bits) AS bits FROM b GROUP BY ALL), bt AS (SELECT track_id, CAST(sum(bits) AS BIGINT) AS chosen FROM best GROUP BY ALL) SELECT track_id, m, bits, chosen, round(bits / chosen, 6) AS over FROM t JOIN bt USING (track_id)")
 def lpc_sizes_by_order(spark, sf_dir):
     """What a track's left channel takes with each single order from 5 to 20, and with the best one for each frame."""
-    sizes = order_sizes(frame_arrays(wave_stereo(spark, sf_dir).select("track_id", "n", "l"), 128, "l"), range(5, 21)).drop("weights")
-    # one array of sizes a frame, so that frames and orders are summed in one pass
-    frames = sizes.groupBy("track_id", "frame").agg(F.collect_list(F.struct("m", "bits")).alias("s"), F.min("bits").alias("least"))
-    chosen = frames.groupBy("track_id").agg(F.sum("least").alias("chosen"))
-    each = frames.select("track_id", F.explode("s").alias("s")).groupBy("track_id", F.col("s.m").alias("m")).agg(F.sum("s.bits").alias("bits"))
-    return each.join(chosen, "track_id").select("track_id", "m", "bits", "chosen", F.round(F.col("bits") / F.col("chosen"), 6).alias("over"))
+    orders = range(5, 21)
+    frames = frame_arrays(wave_stereo(spark, sf_dir).select("track_id", "n", "l").where("track_id is not null"), 128, "l")
+    sums = [F.sum(F.col("bits")[i]).alias(f"b{m}") for i, m in enumerate(orders)]
+    tracks = order_bits(frames, orders, SAMPLE_BITS + WEIGHT_BITS).groupBy("track_id").agg(*sums, F.max("size").alias("longest"), F.sum("least").alias("chosen"))
+    each = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.col(f"b{m}").alias("bits")) for m in orders))
+    rows = tracks.select("track_id", "longest", "chosen", F.explode(each).alias("s")).where("s.m < longest")
+    return rows.select("track_id", "s.m", "s.bits", "chosen", F.round(F.col("s.bits") / F.col("chosen"), 6).alias("over"))
 
 
 #: Bits of a subframe's type and order, and of its Rice parameter.

@@ -9,7 +9,9 @@ from test_operators import plain_bits
 
 from brindle.operators import codecs
 from brindle.operators.adaptive import text_code_lengths
+from brindle.operators.prediction import order_bits, residual_bits
 from brindle.plans.catalogue import ORACLES, QUERIES
+from brindle.plans.lpc_queries import SAMPLE_BITS, WEIGHT_BITS, order_sizes
 
 
 def written(spark, folder, **tables):
@@ -103,3 +105,36 @@ def test_chunks_are_not_coded_one_by_one(spark, duck, tmp_path, monkeypatch):
     texts = [*TEXTS, *("ab" * n + "c" for n in range(900, 1100, 9))]
     written(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert from_spark(spark, tmp_path, "arith_coder_roundtrip") == from_sql(duck, tmp_path, "arith_coder_roundtrip")
+
+
+def test_sizes_of_blocks_of_frames_are_those_of_expressions(spark):
+    rng = np.random.default_rng(4)
+    frames = [rng.integers(-500, 500, n).cumsum().tolist() for n in (1, 5, 6, 7, 20, 21, 22, 100, 128)] + [[7] * 128, [0] * 30, [5 * n + 3 for n in range(128)]]
+    frames += [rng.integers(-(1 << 31), 1 << 31, 128).tolist(), rng.integers(0, 3, 64).tolist(), [-(1 << 40), 1 << 40] * 40]
+    rows = spark.createDataFrame([(i % 7, i, xs) for i, xs in enumerate(frames)], "track_id long, frame long, xs array<bigint>").coalesce(1)
+    want = {(r.frame, r.m): r.bits for r in order_sizes(rows, range(5, 21)).collect()}
+    found = order_bits(rows, range(5, 21), SAMPLE_BITS + WEIGHT_BITS, key="frame").collect()
+    assert {(r.frame, m): bits for r in found for m, bits in enumerate(r.bits, 5) if bits is not None} == want
+    assert [(r.frame, r.size, r.least) for r in found] == [(i, len(xs), min((bits for (f, _), bits in want.items() if f == i), default=None)) for i, xs in enumerate(frames)]
+
+
+def test_predictions_whose_terms_or_sums_pass_64_bits():
+    xs, weights = np.array([[1 << 40, (1 << 40) + 1, 5, 9]]), np.array([[1 << 30, -(1 << 30)]])
+    z = 2 * ((1 << 20) - 5) - 1
+    with pytest.raises(OverflowError):
+        residual_bits(xs, np.ones((1, 4), bool), np.array([4]), weights)
+    first = residual_bits(xs[:, :3], np.ones((1, 3), bool), np.array([3]), weights)
+    k = 1 + int(np.log2(np.log((np.sqrt(5) - 1) / 2) / np.log(z / (z + 1))))
+    assert first.tolist() == [(z >> k) + 1 + k]
+
+
+ITEMS = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz"
+
+
+def test_sizes_by_order_with_prices_that_are_null(spark, duck, tmp_path):
+    rng = np.random.default_rng(5)
+    lengths = {1: 300, 2: 5, 3: 6, 4: 140, 5: 40, None: 30}
+    gone = {1: range(40, 60), 4: range(128, 140), 5: range(40)}  # some samples of a frame, all of a last frame, all of a track
+    items = [(i, 1, track, 1, 1.0, None if i in gone.get(track, ()) else float(rng.integers(900, 90_000)), 0.0, datetime(2024, 1, 1)) for track, n in lengths.items() for i in range(n)]
+    written(spark, tmp_path, lineitem=(items, ITEMS))
+    assert from_spark(spark, tmp_path, "lpc_sizes_by_order") == from_sql(duck, tmp_path, "lpc_sizes_by_order")
