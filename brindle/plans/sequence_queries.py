@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_path
-from ..operators.numbering import with_length, with_neighbours
+from ..operators.numbering import with_neighbours
 from ..sources.views import MONO_SQL, table, wave_mono
 from ..streaming.expiring import first_seen, idle_closed, rocks_db
 from ..streaming.windows import carried, latest_state, run_to_end, sessions, stream_of, windowed
@@ -82,7 +82,9 @@ def zscore_train_only(spark, sf_dir):
 @query(f"WITH {MONO_SQL}, l AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS len FROM wave) SELECT track_id, n, CASE WHEN n < floor(len * 0.7) THEN 'train' WHEN n < floor(len * 0.7) + floor(len * 0.1) THEN 'val' ELSE 'test' END AS split FROM l")
 def ordinal_split(spark, sf_dir):
     """The first seven tenths of a track, the tenth after them, and the rest. Shares are of whole numbers: 0.7 times 90 in doubles is below 63."""
-    rows = with_length(wave_mono(spark, sf_dir))
+    rows = wave_mono(spark, sf_dir)
+    lengths = rows.groupBy(F.col("track_id").alias("of")).agg(F.count(F.lit(1)).alias("len"))
+    rows = rows.join(lengths, F.col("track_id").eqNullSafe(F.col("of")))  # events without a user are a track too
     a, b = F.expr("len * 7 div 10"), F.expr("len div 10")
     return rows.select("track_id", "n", F.when(F.col("n") < a, "train").when(F.col("n") < a + b, "val").otherwise("test").alias("split"))
 

@@ -39,12 +39,13 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def test_splits_of_lengths_whose_share_is_whole(spark, duck, tmp_path):
-    lengths = [1, 9, 10, 60, 90, 170, 180]
-    rows = [(1000 * user + i, datetime(2024, 1, 1) + timedelta(seconds=i), user, "view", i / 4, "{}") for user, n in enumerate(lengths) for i in range(n)]
+    lengths = [1, 9, 10, 60, 90, 170, 180, 30]
+    rows = [(1000 * user + i, datetime(2024, 1, 1) + timedelta(seconds=i), user if user < 7 else None, "view", i / 4, "{}") for user, n in enumerate(lengths) for i in range(n)]
     written(spark, tmp_path, events=(rows, EVENTS))
     got = from_spark(spark, tmp_path, "ordinal_split")
     assert got == from_sql(duck, tmp_path, "ordinal_split")
     assert sum(split == "train" and track == 4 for _, split, track in got) == 63
+    assert len(got) == sum(lengths)
 
 
 def test_rollup_to_the_cent(spark, tmp_path):
